@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metasieve.llm.byte_bpe import decode_documents, encode_documents
+from metasieve.llm.common import scratch
 from metasieve.llm.exact_dedup import exact_dedup
 from metasieve.llm.line_dedup import dedup_lines
+from metasieve.llm.sstable import read_sstables, write_sstables
+from metasieve.llm.token_rollup import TokenRollup, changes, count_tokens
 from metasieve.llm.url_filter import RULES, SOFT, SOFT_LIMIT, STRICT, filter_urls
 
 
@@ -16,11 +21,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_sstable_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "sstables")
+    write_sstables(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, path)
+    read = read_sstables(spark, path)
+    return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "byte_bpe_50k")
+    rollup = TokenRollup(spark, scratch(spark, "token-rollup"))
+    rollup.commit("documents", changes(inserted=counted))
+    rollup.commit("documents", changes(inserted=counted))  # a replay, which finds the commit and does nothing
+    return rollup.totals()
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = decode_documents(encode_documents(_table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -30,7 +56,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sstable_output": op2_sstable_output,
+    "op3_token_rollup": op3_token_rollup,
     "op5_line_dedup": op5_line_dedup,
+    "op7_byte_bpe": op7_byte_bpe,
     "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
 }
