@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from metasieve.llm.byte_bpe import decode_documents, encode_documents
 from metasieve.llm.common import scratch
+from metasieve.llm.decontam import find_leaks
 from metasieve.llm.exact_dedup import exact_dedup
 from metasieve.llm.line_dedup import dedup_lines
+from metasieve.llm.quality_knn import fit_quality, score_quality
 from metasieve.llm.sstable import read_sstables, write_sstables
 from metasieve.llm.token_rollup import TokenRollup, changes, count_tokens
+from metasieve.llm.toxicity_kn import fit_toxicity, score_toxicity
 from metasieve.llm.url_filter import RULES, SOFT, SOFT_LIMIT, STRICT, filter_urls
 
 
@@ -21,6 +24,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_sstable_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "sstables")
     write_sstables(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, path)
@@ -36,6 +43,11 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -47,6 +59,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -56,10 +73,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_sstable_output": op2_sstable_output,
     "op3_token_rollup": op3_token_rollup,
+    "op4_quality_knn": op4_quality_knn,
     "op5_line_dedup": op5_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_toxicity_kn": op8_toxicity_kn,
     "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
 }
