@@ -182,3 +182,20 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose score reaches the threshold."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at_text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCK):
+                part = b.slice(at, BLOCK)
+                x = np.array([features(t) for t in texts(part.column(at_text))], np.float32)
+                yield part.filter(pa.array(m.scores(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

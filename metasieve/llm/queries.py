@@ -13,6 +13,7 @@ from metasieve.llm.common import scratch
 from metasieve.llm.decontam import find_leaks
 from metasieve.llm.exact_dedup import exact_dedup
 from metasieve.llm.line_dedup import dedup_lines
+from metasieve.llm.ngram_join import jaccard_components
 from metasieve.llm.quality_knn import fit_quality, score_quality
 from metasieve.llm.sstable import read_sstables, write_sstables
 from metasieve.llm.token_rollup import TokenRollup, changes, count_tokens
@@ -53,6 +54,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     coded = decode_documents(encode_documents(_table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_rollup": op3_token_rollup,
     "op4_quality_knn": op4_quality_knn,
     "op5_line_dedup": op5_line_dedup,
+    "op6_ngram_join": op6_ngram_join,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_toxicity_kn": op8_toxicity_kn,
     "op9_url_filter": op9_url_filter,
