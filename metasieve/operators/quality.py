@@ -27,11 +27,10 @@ def assess_rob(votes: DataFrame, default_missing: bool = False) -> DataFrame:
     """
     if default_missing:
         votes = votes.withColumns({d: F.coalesce(F.col(d), F.lit("some_concerns")) for d in ROB_DOMAINS})
-    levels = F.array(*ROB_DOMAINS)
     missing = F.array_compact(F.array(*(F.when(F.col(d).isNull(), d) for d in ROB_DOMAINS)))
     invalid = F.array_compact(F.array(*(F.when(~F.col(d).isin(*ROB_LEVELS), d) for d in ROB_DOMAINS)))
     error = F.when(F.size(missing) > 0, F.concat(F.lit("missing domains: "), F.array_join(missing, ", "))).when(F.size(invalid) > 0, F.concat(F.lit("invalid level: "), F.array_join(invalid, ", ")))
-    count = {level: F.size(F.filter(levels, lambda x, level=level: x == level)) for level in ROB_LEVELS}
+    count = {level: F.size(F.array_compact(F.array(*(F.when(F.col(d) == level, d) for d in ROB_DOMAINS)))) for level in ROB_LEVELS}
     overall = F.when(count["high"] > 0, "high").when(count["some_concerns"] > 0, "some_concerns").otherwise("low")
     ok = F.col("error").isNull()
     return votes.withColumn("error", error).withColumns({"overall": F.when(ok, overall), **{f"n_{level}": F.when(ok, count[level]) for level in ROB_LEVELS}})

@@ -404,13 +404,13 @@ def pico_score(spark, sf_dir):
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 
 
-@query(f"SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-zA-Z]{{3,}}')), w -> w NOT IN ({_STOP}))), ' ') AS keywords FROM documents")
+@query(f"SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-zA-Z]{{3,}}')), lambda w: w NOT IN ({_STOP}))), ' ') AS keywords FROM documents")
 def keywords(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.keywords(F.col("text")), " ").alias("keywords"))
 
 
-@query(f"""WITH p AS (SELECT list_filter(list_distinct(regexp_extract_all(lower('Adults with thonre inthere of edthon ' || 'wasoner anthe'), '[a-zA-Z]{{3,}}')), w -> w NOT IN ({_STOP})) AS p),
-k AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-zA-Z]{{3,}}')), w -> w NOT IN ({_STOP})) AS t FROM documents)
+@query(f"""WITH p AS (SELECT list_filter(list_distinct(regexp_extract_all(lower('Adults with thonre inthere of edthon ' || 'wasoner anthe'), '[a-zA-Z]{{3,}}')), lambda w: w NOT IN ({_STOP})) AS p),
+k AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-zA-Z]{{3,}}')), lambda w: w NOT IN ({_STOP})) AS t FROM documents)
 SELECT doc_id, round(len(list_intersect(t, p)) * 1.0 / len(t), 6) AS overlap_ratio FROM k, p WHERE len(t) > 3 AND len(list_intersect(t, p)) * 1.0 / len(t) < 0.1""")
 def pico_drift(spark, sf_dir):
     d = table(spark, sf_dir, "documents").withColumn("d", tx.pico_drift(F.col("text"), F.lit("Adults with thonre inthere of edthon wasoner anthe"))).filter("d IS NOT NULL")
@@ -426,14 +426,14 @@ def priority_sections(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT doc_id, replace(text, '. ', '.' || chr(10) || chr(10)) AS x FROM documents), c AS (SELECT doc_id, x, x[:700] AS cut FROM t),
-p AS (SELECT *, CASE WHEN contains(cut, chr(10) || chr(10)) THEN 700 - strpos(reverse(cut), chr(10) || chr(10)) - 1 ELSE -1 END AS para, greatest(CASE WHEN contains(cut, '.' || chr(10)) THEN 700 - strpos(reverse(cut), chr(10) || '.') - 1 ELSE -1 END, -1) AS sent FROM c)
+p AS (SELECT *, CASE WHEN contains(cut, chr(10) || chr(10)) THEN 700 - strpos(reverse(cut), chr(10) || chr(10)) - 1 ELSE -1 END AS para, greatest(CASE WHEN contains(cut, '.' || chr(10)) THEN 700 - strpos(reverse(cut), chr(10) || '.') - 1 ELSE -1 END, CASE WHEN contains(cut, '! ') THEN 700 - strpos(reverse(cut), ' !') - 1 ELSE -1 END) AS sent FROM c)
 SELECT doc_id, CASE WHEN length(x) <= 700 THEN x WHEN para > 350 THEN regexp_replace(x[:para], '\\s+$', '') || chr(10) || chr(10) || '[... truncated at paragraph boundary]' WHEN sent > 350 THEN regexp_replace(x[:sent + 1], '\\s+$', '') || chr(10) || chr(10) || '[... truncated at sentence boundary]' ELSE regexp_replace(cut, '\\s+$', '') || chr(10) || chr(10) || '[... truncated]' END AS text FROM p""")
 def truncate_paragraph(spark, sf_dir):
     x = F.replace("text", F.lit(". "), F.lit(".\n\n"))
     return table(spark, sf_dir, "documents").select("doc_id", tx.truncate_at_paragraph(x, 700).alias("text"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '\\s+$', '') ELSE text || chr(10) || 'Reference 1' END AS text FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN text || chr(10) || 'Reference 1' WHEN length(text) + 1 >= ceil(0.6 * (length(text) + 17)) THEN regexp_replace(text, '\\s+$', '') ELSE text || chr(10) || chr(10) || 'References' || chr(10) || '1. A' END AS text FROM documents")
 def strip_references(spark, sf_dir):
     x = F.expr("CASE WHEN doc_id % 2 = 0 THEN concat(text, '\\n\\nReferences\\n1. A') ELSE concat(text, '\\nReference 1') END")
     return table(spark, sf_dir, "documents").select("doc_id", tx.strip_references(x).alias("text"))
@@ -457,7 +457,7 @@ def markdown_table(spark, sf_dir):
     return rows.select("p_brand", tx.table_to_markdown(F.concat(F.array(F.array(F.lit("name"), F.lit("size"))), F.transform("rs", lambda x: x["r"]))).alias("md"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), w -> w <> ''), ' ') AS abstract FROM documents")
+@query("SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda w: w <> ''), ' ') AS abstract FROM documents")
 def inverted_abstract(spark, sf_dir):
     """Every text turned into an inverted index and back."""
     words = F.filter(F.split(F.regexp_replace("text", r"\s+", " "), " "), lambda w: w != "")
@@ -483,7 +483,7 @@ def harmonize_mapping(spark, sf_dir):
     return harmonize.apply_mapping(rows, clusters).select("p_partkey", "canonical_outcome")
 
 
-@query("SELECT a.label AS block, a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), p -> p[1]::DOUBLE * p[2]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, x -> x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, x -> x::DOUBLE * x::DOUBLE)))), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
+@query("SELECT a.label AS block, a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
 def cosine_pairs(spark, sf_dir):
     p = harmonize.cosine_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
     return p.select("block", "a", "b", F.round("similarity", 5).alias("similarity"))
@@ -518,10 +518,10 @@ def cost_estimate(spark, sf_dir):
     return e.select("current_phase", F.round("cost_so_far", 4).alias("cost_so_far"), "n_completed", "n_remaining", F.round("estimate", 4).alias("estimate"))
 
 
-@query("SELECT event_id, round((event_id % 1000) / 1000 * CASE user_id % 3 WHEN 0 THEN 0.0003 WHEN 1 THEN 0.003 ELSE 0.015 END + (event_id % 300) / 1000 * CASE user_id % 3 WHEN 0 THEN 0.0025 WHEN 1 THEN 0.015 ELSE 0.075 END, 4) AS cost FROM events")
+@query("SELECT event_id, round((event_id % 1000) * 100 / 1000 * CASE user_id % 3 WHEN 0 THEN 0.0003 WHEN 1 THEN 0.003 ELSE 0.015 END + (event_id % 300) * 100 / 1000 * CASE user_id % 3 WHEN 0 THEN 0.0025 WHEN 1 THEN 0.015 ELSE 0.075 END, 6) AS cost FROM events")
 def tier_cost(spark, sf_dir):
     tier = F.expr("CASE user_id % 3 WHEN 0 THEN 'fast' WHEN 1 THEN 'smart' ELSE 'strategic' END")
-    return table(spark, sf_dir, "events").select("event_id", F.round(cost.call_cost(tier, F.col("event_id") % 1000, F.col("event_id") % 300), 4).alias("cost"))
+    return table(spark, sf_dir, "events").select("event_id", cost.call_cost(tier, F.col("event_id") % 1000 * 100, F.col("event_id") % 300 * 100).alias("cost"))
 
 
 @query(f"{_LOG_SQL} SELECT round(sum(cost) / 20, 4) AS cost_per_study, round((sum(input_tokens) + sum(output_tokens)) / 20, 4) AS tokens_per_study FROM l")
