@@ -4,10 +4,11 @@ A shard holds documents in ascending key order:
 
     block*  bloom  index  footer
 
-A block is a run of entries, closed at BLOCK_BYTES: varint length of the prefix shared with the key before (0 for the
+A block is a run of entries, closed at BLOCK_BYTES and compressed with zstd: varint length of the prefix shared with the key before (0 for the
 first of a block), varint length of the rest, the rest, varint length of the value, the value. Keys are 9 bytes: 0 for a
 null id, else 1, then the id as a big-endian integer with its sign bit turned, so that bytes sort as ids do. A value is
-the ids as little-endian unsigned 32-bit integers. The Bloom filter has 10 bits for each key and 7 probes. The index
+a byte with the width of an id, 2 where all ids of the document fit and else 4, and the ids as little-endian unsigned
+integers of that width. The Bloom filter has 10 bits for each key and 7 probes. The index
 has, per block, its first key, offset, length and rows. The footer is of fixed size: offsets and lengths of filter and
 index, rows, ids in all, and the magic number. lookup() reads footer, filter and index, searches the index by bisection
 and reads one block, or several where a key repeats.
@@ -18,9 +19,11 @@ totals come back as one small row for each shard; `start` positions are sums ove
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
-import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,86 +31,87 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metasieve.llm.common import blob, bounded_batches, scratch, stored, texts
+from metasieve.llm.common import blob, bounded_batches, texts
 
 BLOCK_BYTES = 1 << 16
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 MAGIC = b"MSVSST01"
 FOOTER = struct.Struct("<QQQQQQ8s")
 INDEX = struct.Struct("<9sQQI")
-#: Spans remembered by a worker before the older half is forgotten; longer spans are never remembered.
-CACHE_SPANS, CACHE_CHARS = 500_000, 48
-#: What stands between spans that are encoded together: a character that no span with it inside is sent with.
-MARK = "\x01"
-#: Characters sent to the library in one call.
-CALL_CHARS = 1 << 16
+#: Spans, and pre-tokens, remembered by a worker before the older half is forgotten; longer ones are never remembered.
+CACHE_SPANS, CACHE_CHARS = 400_000, 48
+#: Spans whose lower case and normal form are the same under every version of Unicode: ASCII and precomposed Latin letters.
+LATIN = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]*").fullmatch
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u017e"
+#: The pre-tokens of such a span once in lower case.
+PRE_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\x20\\x09-\\x0d{LETTERS}0-9]+").findall
 
 
 class SpanEncoder:
-    """Ids of whole texts by the tokenizers library, with the spans between spaces encoded once.
+    """Ids of whole texts by the tokenizers library, with what repeats encoded once.
 
-    For tokenizers that drop white space, so that no token crosses it. New spans are encoded many in one call, with MARK
-    between them, and the ids are cut at the mark's; a span that holds the mark itself is encoded alone.
+    For tokenizers that lower-case, drop white space and split at it, so that no token crosses a space: a text is cut at
+    its spaces, and Latin spans at their pre-tokens too, which letter case and punctuation then do not multiply. What is
+    new goes to the library, many pieces in a call.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.mark = self._call(MARK)
-        if len(self.mark) != 1 or self._call(f"a {MARK} a") != self._call("a") + self.mark + self._call("a"):
-            raise ValueError("the tokenizer does not drop white space")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _call(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _encode(self, spans: list[str]) -> Iterator[bytes]:
-        """The ids of each span, in order."""
-        group: list[str] = []
-        size = 0
-        for s in [*spans, None]:
-            if group and (s is None or size + len(s) > CALL_CHARS or MARK in s):
-                ids = np.array(self._call(f" {MARK} ".join(group)), np.uint32)
-                cuts = np.flatnonzero(ids == self.mark[0])
-                if len(cuts) != len(group) - 1:
-                    raise ValueError("spans and marks differ")
-                starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-                for a, b in zip(starts, ends, strict=True):
-                    yield ids[a:b].tobytes()
-                group, size = [], 0
-            if s is not None:
-                if MARK in s:
-                    yield np.array(self._call(s), np.uint32).tobytes()
-                else:
-                    group.append(s)
-                    size += len(s) + 3
+        probe = "Ab's  cd1 \nÉ2x, 'tis ..!a"
+        if [i for p in PRE_TOKENS(probe.lower()) for i in self._call([p])[0]] != self._call([probe])[0].tolist():
+            raise ValueError("the tokenizer splits text in another way")
+        self.spans: list[dict[str, bytes]] = [{}, {}]
+        self.pieces: list[dict[str, bytes]] = [{}, {}]
+
+    def _call(self, pieces: list[str]) -> list[array]:
+        return [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    @staticmethod
+    def _missing(wanted: set[str], young: dict[str, bytes], old: dict[str, bytes]) -> list[str]:
+        """What neither generation has; what the old one has moves to the young one."""
+        out = []
+        for p in wanted.difference(young):
+            if (found := old.get(p)) is None:
+                out.append(p)
+            else:
+                young[p] = found
+        return out
+
+    @staticmethod
+    def _forget(generations: list[dict[str, bytes]], new: list[str]) -> None:
+        young = generations[0]
+        for p in new:
+            if len(p) > CACHE_CHARS:
+                del young[p]
+        if len(young) > CACHE_SPANS:
+            generations[:] = [{}, young]
 
     def encode_all(self, rows: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [t.replace("\n", " ").split(" ") for t in rows]
-        new: dict[str, bytes] = {}
-        for parts in split:
-            for p in set(parts):
-                if p not in self.young and p not in new:
-                    if (found := self.old.get(p)) is not None:
-                        self.young[p] = found
-                    else:
-                        new[p] = b""
-        for p, ids in zip(new, self._encode([*new]), strict=True):
-            new[p] = ids
-        long = {p: new[p] for p in new if len(p) > CACHE_CHARS}
-        self.young.update(new)
-        out = [b"".join(map(self.young.__getitem__, parts)) for parts in split]
-        for p in long:
-            del self.young[p]
-        if len(self.young) > CACHE_SPANS:
-            self.old, self.young = self.young, {}
+        new = self._missing(set().union(*split), *self.spans)
+        cut = {p: PRE_TOKENS(p.lower()) if LATIN(p) else None for p in new}
+        new_pieces = self._missing({q for parts in cut.values() if parts for q in parts}, *self.pieces)
+        spans, pieces = self.spans[0], self.pieces[0]
+        others = [p for p, parts in cut.items() if parts is None]
+        todo = new_pieces + others
+        for at in range(0, len(todo), 10_000):
+            for k, ids in enumerate(self._call(todo[at : at + 10_000]), at):
+                (pieces if k < len(new_pieces) else spans)[todo[k]] = ids.tobytes()
+        for p, parts in cut.items():
+            if parts is not None:
+                spans[p] = b"".join([pieces[q] for q in parts])
+        out = [b"".join(map(spans.__getitem__, parts)) for parts in split]
+        self._forget(self.spans, new)
+        self._forget(self.pieces, new_pieces)
         return out
 
 
@@ -151,6 +155,17 @@ def _probes(key: bytes, bits: int) -> list[int]:
     return [(a + k * b) % bits for k in range(BLOOM_PROBES)]
 
 
+def pack_ids(ids: bytes) -> bytes:
+    """A value from little-endian unsigned 32-bit ids."""
+    wide = np.frombuffer(ids, "<u4")
+    return b"\2" + wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 1 << 16 else b"\4" + ids
+
+
+def unpack_ids(value: bytes) -> bytes:
+    """Little-endian unsigned 32-bit ids from a value."""
+    return value[1:] if value[0] == 4 else np.frombuffer(value, "<u2", offset=1).astype("<u4").tobytes()
+
+
 class ShardWriter:
     """Writes one shard; add() takes keys in ascending order. Only the open block, the index and 16 bytes a key are held."""
 
@@ -160,7 +175,8 @@ class ShardWriter:
         self.index: list[bytes] = []
         self.keys: list[bytes] = []
 
-    def add(self, key: bytes, value: bytes) -> None:
+    def add(self, key: bytes, ids: bytes) -> None:
+        value = pack_ids(ids)
         if key < self.last:
             raise ValueError("keys must ascend")
         shared = 0
@@ -172,7 +188,7 @@ class ShardWriter:
         self.block += varint(shared) + varint(len(key) - shared) + key[shared:] + varint(len(value)) + value
         self.block_rows += 1
         self.rows += 1
-        self.n_ids += len(value) // 4
+        self.n_ids += len(ids) // 4
         if key != self.last:
             self.keys.append(key)
         self.last = key
@@ -181,9 +197,10 @@ class ShardWriter:
 
     def _close_block(self) -> None:
         if self.block_rows:
-            self.out.write(bytes(self.block))
-            self.index.append(INDEX.pack(self.first, self.at, len(self.block), self.block_rows))
-            self.at += len(self.block)
+            block = zstandard.compress(bytes(self.block), 1)
+            self.out.write(block)
+            self.index.append(INDEX.pack(self.first, self.at, len(block), self.block_rows))
+            self.at += len(block)
             self.block, self.block_rows = bytearray(), 0
 
     def finish(self) -> None:
@@ -199,7 +216,9 @@ class ShardWriter:
         self.out.write(FOOTER.pack(self.at, len(bloom), self.at + len(bloom), len(index), self.rows, self.n_ids, MAGIC))
 
 
-def _entries(block: bytes) -> Iterator[tuple[bytes, bytes]]:
+def _entries(stored: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(key, ids) of a block."""
+    block = zstandard.decompress(stored)
     at, key = 0, b""
     while at < len(block):
         shared, at = read_varint(block, at)
@@ -207,7 +226,7 @@ def _entries(block: bytes) -> Iterator[tuple[bytes, bytes]]:
         key = key[:shared] + block[at : at + n]
         at += n
         n, at = read_varint(block, at)
-        yield key, block[at : at + n]
+        yield key, unpack_ids(block[at : at + n])
         at += n
 
 
