@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 Merges run over a linked list of spans. Buckets, one per merge rank, hold the list positions whose pair has that rank;
-a three-level bitmap over the ranks finds the lowest rank in use by find-first-set, so the next merge costs the same
-whatever the length of the pre-token. Entries whose pair has changed since are skipped when they come up.
+a two-level bitmap over the ranks (words of 64 ranks below one word with a bit for each of them) finds the lowest rank in
+use by two find-first-set steps, so the next merge costs the same whatever the length of the pre-token. Entries whose pair has changed since are skipped when they come up.
 
-Documents repeat their words, so spans of text between spaces are encoded once and remembered in a bounded cache.
+Documents repeat their words, so spans of text between spaces, and the pre-tokens in them, are encoded once and remembered
+in bounded caches.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from metasieve.llm.common import bounded_batches, texts
 
-#: Spans remembered by a worker before the older half is forgotten; longer spans are never remembered.
-CACHE_SPANS, CACHE_CHARS = 500_000, 48
+#: Spans, and pre-tokens, remembered by a worker before the older half is forgotten; longer ones are never remembered.
+CACHE_SPANS, CACHE_PIECES, CACHE_CHARS = 200_000, 600_000, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,86 +43,116 @@ class ByteBpe:
         self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        # spans after a space and spans at the start of a text, each in a young and an old generation
-        self.young: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.pair_rank = [-1] * (1 << 16)  # of two bytes
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pair_rank[token[0] << 8 | token[1]] = rank
+        # spans after a space, spans at the start of a text, and pre-tokens, each in a young and an old generation
+        self.young: tuple[dict[str, bytes], ...] = ({}, {}, {})
+        self.old: tuple[dict[str, bytes], ...] = ({}, {}, {})
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token: lowest rank first, leftmost first among equals."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
+        rank_of = self.ranks.get
+        if (whole := rank_of(piece)) is not None:
             return [whole]
         n = len(piece)
         end = list(range(1, n + 1))  # a span starts at its position; the next one starts where it ends
         before = list(range(-1, n))
-        rank_at = [-1] * n  # of the pair that starts at a position
-        buckets: dict[int, list[int]] = {}
-        top, middle, low = 0, {}, {}
-
-        def push(rank: int, at: int) -> None:
-            nonlocal top
-            rank_at[at] = rank
-            if (bucket := buckets.get(rank)) is not None:
-                heappush(bucket, at)
-                return
-            buckets[rank] = [at]
-            a, b = rank >> 12, rank >> 6
-            top |= 1 << a
-            middle[a] = middle.get(a, 0) | 1 << (b & 63)
-            low[b] = low.get(b, 0) | 1 << (rank & 63)
-
-        for i in range(n - 1):
-            if (rank := ranks.get(piece[i : i + 2])) is not None:
-                push(rank, i)
+        pair_rank = self.pair_rank
+        rank_at = [pair_rank[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]  # of the pair that starts at a position
+        rank_at.append(-1)
+        buckets: dict[int, int | list[int]] = {}  # a position, or a heap of several
+        top, words = 0, {}
+        for i, rank in enumerate(rank_at):
+            if rank >= 0:
+                if rank in buckets:
+                    held = buckets[rank]
+                    if type(held) is int:
+                        buckets[rank] = [held, i]
+                    else:
+                        held.append(i)
+                else:
+                    buckets[rank] = i
+                    k = rank >> 6
+                    words[k] = words.get(k, 0) | 1 << (rank & 63)
+                    top |= 1 << k
         while top:
-            a = (top & -top).bit_length() - 1
-            m = middle[a]
-            b = a << 6 | (m & -m).bit_length() - 1
-            w = low[b]
-            rank = b << 6 | (w & -w).bit_length() - 1
-            bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
+            k = (top & -top).bit_length() - 1
+            word = words[k]
+            low = word & -word
+            rank = k << 6 | low.bit_length() - 1
+            held = buckets[rank]
+            if type(held) is int:
+                i = held
+                last = True
+            else:
+                i = heappop(held)
+                last = not held
+            if last:
                 del buckets[rank]
-                low[b] = w = w & (w - 1)
-                if not w:
-                    middle[a] = m = m & (m - 1)
-                    if not m:
-                        top &= top - 1
+                words[k] = word = word ^ low
+                if not word:
+                    top ^= 1 << k
             if rank_at[i] != rank:
                 continue  # stale
             j = end[i]
             e = end[i] = end[j]
-            rank_at[i] = rank_at[j] = -1
+            rank_at[j] = -1
+            p = before[i]
+            at, stop = i, 0
             if e < n:
                 before[e] = i
-                if (r := ranks.get(piece[i : end[e]])) is not None:
-                    push(r, i)
-            if (p := before[i]) >= 0:
-                rank_at[p] = -1
-                if (r := ranks.get(piece[p:e])) is not None:
-                    push(r, p)
+                stop = end[e]
+            else:
+                rank_at[i] = -1
+            while True:  # the pair that starts here, then the pair that ends here
+                if stop:
+                    r = rank_of(piece[at:stop])
+                    if r is None:
+                        rank_at[at] = -1
+                    else:
+                        rank_at[at] = r
+                        if r in buckets:
+                            held = buckets[r]
+                            if type(held) is int:
+                                buckets[r] = [held, at] if held < at else [at, held]
+                            else:
+                                heappush(held, at)
+                        else:
+                            buckets[r] = at
+                            k = r >> 6
+                            words[k] = words.get(k, 0) | 1 << (r & 63)
+                            top |= 1 << k
+                if p < 0:
+                    break
+                at, stop, p = p, e, -1
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = end[i]
+            e = end[i]
+            out.append(self.ranks[piece[i:e]])
+            i = e
         return out
 
-    def span(self, text: str) -> bytes:
-        """The ids of a text, 4 bytes each, without the cache."""
-        ids = array("I")
-        for piece in self.find(text):
-            ids.extend(self.merge(piece.encode()))
-        return ids.tobytes()
+    def _remember(self, kind: int, text: str, ids: bytes) -> bytes:
+        if len(text) <= CACHE_CHARS:
+            if len(self.young[kind]) >= (CACHE_PIECES if kind == 2 else CACHE_SPANS):
+                self.old = tuple(y if k == kind else o for k, (y, o) in enumerate(zip(self.young, self.old, strict=True)))
+                self.young = tuple({} if k == kind else y for k, y in enumerate(self.young))
+            self.young[kind][text] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        if (found := self.young[2].get(piece)) is not None:
+            return found
+        if (found := self.old[2].get(piece)) is None:
+            found = array("I", self.merge(piece.encode())).tobytes()
+        return self._remember(2, piece, found)
 
     def _miss(self, part: str, first: bool) -> bytes:
         if (found := self.old[first].get(part)) is None:
-            found = self.span(part if first else " " + part)
-        if len(part) <= CACHE_CHARS:
-            if len(self.young[first]) >= CACHE_SPANS:
-                self.old, self.young = self.young, ({}, {})
-            self.young[first][part] = found
-        return found
+            found = b"".join([self._piece(p) for p in self.find(part if first else " " + part)])
+        return self._remember(first, part, found)
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids of a text as unsigned 32-bit integers in the machine's order.
