@@ -36,6 +36,8 @@ LONGEST = 4
 LAYERS = (0.08, 0.16, 0.24, 0.32, 0.48, 0.64, 1.0)
 #: Rounds against central sets, at most; they end when the pairs left are no more than this many for each posting.
 ROUNDS, LEFT = 4, 4
+#: Most document ids, of 8 bytes each, that are broadcast.
+BROADCAST_IDS = 2_000_000
 #: Words remembered by a worker.
 REMEMBERED = 400_000
 
@@ -95,14 +97,15 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, sig, n of every row; sig is null for an empty set."""
+def _sets_of(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, sig, n, counts (shingles counted in each layer) of every row; sig is null for an empty set."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, words) for t in b.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([signature(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "sig", "n"])
+        counts = [np.bincount(np.searchsorted(_BOUNDS, sent(s, percent)), minlength=len(LAYERS)).tolist() for s in sets]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([signature(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "sig", "n", "counts"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, sig long, n long")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, sig long, n long, counts array<int>")
 
 
 def _counted(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -152,18 +155,18 @@ def _counted(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return packed.repartition(parts, "part").mapInArrow(count, "sig long, layer int, df long, h long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int, percent: int) -> DataFrame:
-    """sig, n, counts (shingles counted per layer), tokens of the wanted classes (doc_id), from one document of each."""
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """sig, tokens of the wanted classes (doc_id), from one document of each.
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, words) for t in b.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([np.bincount(np.searchsorted(_BOUNDS, sent(s, percent)), minlength=len(LAYERS)).tolist() for s in sets], pa.list_(pa.int32())), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "n", "counts", "tokens"])
+    Few wanted ids go to the documents, so that no text is shuffled; beyond BROADCAST_IDS both sides are merged.
+    """
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").select("text")
-    return map_batches(chosen, run, "sig long, n long, counts array<int>, tokens binary").dropDuplicates(["sig"])
+    few = wanted.count() <= BROADCAST_IDS
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").select("text")
+    return _all_sets(chosen, words).dropDuplicates(["sig"])
 
 
-def _postings(counted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _postings(counted: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """h, sig, n, own, l: the prefix of each set, but for the shingles that it alone has counted."""
     kind = "h long, sig long, n long, own int, l int"
 
@@ -193,7 +196,7 @@ def _postings(counted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     # a set has counted about a sixth of its shingles, so the list of one is bounded by its own text
     lists = counted.groupBy("sig").agg(F.collect_list(F.struct("layer", "df", "h")).alias("seen"))
-    return map_batches(lists.join(sets.select("sig", "n", "counts"), "sig").select("sig", "n", "counts", "seen"), run, kind)
+    return map_batches(lists.join(classes.select("sig", "n", "counts"), "sig").select("sig", "n", "counts", "seen"), run, kind)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -232,6 +235,16 @@ def _close(percent: int, n: str, m: str) -> F.Column:
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
+def _all_sets(docs: DataFrame, words: int) -> DataFrame:
+    """sig, tokens of every row."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t, words) for t in b.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array([signature(s) if len(s) else 0 for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "tokens"])
+
+    return map_batches(docs.select("text"), run, "sig long, tokens binary")
+
+
 def _labelled(postings: DataFrame, edges: list[DataFrame]) -> DataFrame:
     """Postings with comp: the component of the links found so far."""
     if not edges:
@@ -252,18 +265,23 @@ def _open_lists(postings: DataFrame) -> DataFrame:
 def class_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(members, labels): doc_id, sig, n of every row, and the component label of every sig that links to another one."""
     spark = docs.sparkSession
-    members = stored(_sets_of(docs, words), "sets-of")
+    members = stored(_sets_of(docs, words, percent), "sets-of")
     counted = stored(_counted(docs, words, percent), "counted")
-    wanted = members.join(counted.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    sets = stored(_sets(docs, stored(wanted, "wanted"), words, percent), "sets")
-    postings = stored(_postings(counted, sets, percent), "postings")
+    classes = members.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("counts").alias("counts"))
+    postings = stored(_open_lists(_labelled(_postings(counted, classes, percent), [])).drop("comp"), "postings")
+    # a class of rows without an id is read by the text of one of them: such rows are few, but may have links
+    wanted = stored(classes.join(postings.select("sig").distinct(), "sig", "left_semi").select("doc_id"), "wanted")
+    sets = _sets(docs.filter("doc_id IS NOT NULL"), wanted.filter("doc_id IS NOT NULL"), words)
+    sets = stored(sets.union(_all_sets(docs.filter("doc_id IS NULL"), words)).dropDuplicates(["sig"]), "sets")
     edges: list[DataFrame] = []
-    left = stored(_open_lists(_labelled(postings, [])), "left")
+    left = postings.withColumn("comp", F.col("sig"))
     for _ in range(ROUNDS):
         # the set with the fewest shingles of its own is the centre of a list; of those that it cannot join, another is
         centre = left.groupBy("h").agg(F.min_by(F.struct("sig", "n", "comp"), F.struct("own", "n", "sig")).alias("c"))
         pairs = left.join(centre, "h").select("sig", "n", "comp", F.col("c.sig").alias("cs"), F.col("c.n").alias("cn"), F.col("c.comp").alias("cc"))
-        pairs = pairs.filter((F.col("comp") != F.col("cc")) & _close(percent, "n", "cn")).select(F.least("sig", "cs").alias("a"), F.greatest("sig", "cs").alias("b")).distinct()
+        pairs = pairs.filter((F.col("comp") != F.col("cc")) & _close(percent, "n", "cn")).groupBy("sig", "cs").agg(F.count(F.lit(1)).alias("met"))
+        # one centre for each set in a round: the one that it meets most
+        pairs = pairs.groupBy("sig").agg(F.max_by("cs", F.struct("met", "cs")).alias("cs")).select(F.least("sig", "cs").alias("a"), F.greatest("sig", "cs").alias("b")).distinct()
         edges.append(stored(_verified(pairs, sets, percent), "edges"))
         left = stored(_open_lists(_labelled(postings, edges)), "left")
         size = left.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
