@@ -49,8 +49,9 @@ def trim_and_fill(effects: DataFrame, keys: Sequence[str] = ("outcome",), hksj:
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord", kind="stable")
         y, se = pdf["effect"].to_numpy(float), pdf["se"].to_numpy(float)
+        key = [pdf[k].iloc[0] for k in keys]
         if len(y) < 3 or not (se > 0).all():
-            return pd.DataFrame({f.name: [] for f in schema})
+            return pd.DataFrame([(*key, 0, 0, 0, 0.0, 0.0, 0.0, 0.0, False, "")], columns=schema.names).head(0)
         mu = pool_vectors(y, se, "REML", False)["pooled_effect"]
         d = y - mu
         right, left = int((d > 0).sum()), int((d < 0).sum())
@@ -59,9 +60,7 @@ def trim_and_fill(effects: DataFrame, keys: Sequence[str] = ("outcome",), hksj:
         far = np.argsort(d if suppressed_right else -d, kind="stable")[:k0]
         adjusted = pool_vectors(np.r_[y, 2 * mu - y[far]], np.r_[se, se[far]], "REML", hksj)
         flipped = bool((mu > 0) != (adjusted["pooled_effect"] > 0))
-        out = pdf[keys].head(1).copy()
-        for name, value in (("k", len(y)), ("n_imputed", k0), ("k_total", len(y) + k0), ("original_effect", mu), ("adjusted_effect", adjusted["pooled_effect"]), ("ci_lower", adjusted["ci_lower"]), ("ci_upper", adjusted["ci_upper"]), ("direction_flipped", flipped), ("warning", "the direction of the effect changes after trim-and-fill" if flipped else None)):
-            out[name] = value
-        return out
+        warning = "the direction of the effect changes after trim-and-fill" if flipped else None
+        return pd.DataFrame([(*key, len(y), k0, len(y) + k0, mu, adjusted["pooled_effect"], adjusted["ci_lower"], adjusted["ci_upper"], flipped, warning)], columns=schema.names)
 
     return effects.select(*keys, "ord", "effect", "se").groupBy(*keys).applyInPandas(fill, schema)
