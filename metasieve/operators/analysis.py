@@ -82,3 +82,18 @@ def analyze(rows: DataFrame, plan: DataFrame | None = None) -> dict[str, DataFra
     results = execute(rows, plan)
     loo = leave_one_out(planned_effects(rows, plan.filter("run_loo")))
     return {"profile": profile, "plan": plan, "results": results, "leave_one_out": loo, "flags": anomaly_flags(results)}
+
+
+#: Confidence below which an evidence span is reviewed.
+SPAN_CONFIDENCE = 0.7
+
+
+def low_confidence_spans(spans: DataFrame, threshold: float = SPAN_CONFIDENCE) -> DataFrame:
+    """The spans whose match_confidence, 0 where it is missing, is below the threshold."""
+    return spans.filter(F.coalesce("match_confidence", F.lit(0.0)) < threshold)
+
+
+def field_count(rows: DataFrame) -> DataFrame:
+    """rows with n_fields: the fields of arm1 and arm2, names included, that are not null."""
+    fields = [F.col(f"{arm}.{f.name}") for arm in ("arm1", "arm2") for f in rows.schema[arm].dataType.fields]
+    return rows.withColumn("n_fields", sum((F.when(c.isNotNull(), 1).otherwise(0) for c in fields), F.lit(0)))

@@ -11,6 +11,7 @@ from metasieve.functions import effects as fx
 from metasieve.functions import text as tx
 from metasieve.functions.distributions import critical_values
 from metasieve.operators import analysis, bias, cost, harmonize, pooling, quality, screening, writing
+from metasieve.plans import responders
 from metasieve.plans.bindings import ARMS, arms, plain
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -260,6 +261,28 @@ def default_plan(spark, sf_dir):
     return analysis.default_plan(analysis.data_profile(extraction_rows(spark, sf_dir)))
 
 
+@query("SELECT event_id FROM events WHERE event_id % 10 = 0 OR value < 70")
+def low_confidence_spans(spark, sf_dir):
+    spans = table(spark, sf_dir, "events").selectExpr("event_id", "CASE WHEN event_id % 10 <> 0 THEN value / 100 END AS match_confidence")
+    return analysis.low_confidence_spans(spans).select("event_id")
+
+
+@query(f"""WITH {A} SELECT outcome, ord, (CASE WHEN CAST(substring(outcome, 1, 1) AS INT) % 3 = 0 THEN 2 + (n1 IS NOT NULL)::INT + (n2 IS NOT NULL)::INT + (events1 IS NOT NULL)::INT + (events2 IS NOT NULL)::INT + (n1 IS NOT NULL)::INT + (n2 IS NOT NULL)::INT
+ELSE 2 + (n1 IS NOT NULL)::INT + (n2 IS NOT NULL)::INT + (mean1 IS NOT NULL)::INT + (mean2 IS NOT NULL)::INT + (sd1 IS NOT NULL)::INT + (sd2 IS NOT NULL)::INT + CASE WHEN ord % 4 <> 0 THEN (sd1 IS NOT NULL)::INT + (sd2 IS NOT NULL)::INT ELSE 0 END END)::INT AS n_fields FROM arms""")
+def field_count(spark, sf_dir):
+    return analysis.field_count(extraction_rows(spark, sf_dir)).select("outcome", "ord", "n_fields")
+
+
+@query("SELECT event_id::VARCHAR AS key, event_id % 7 <> 0 AND event_id % 5 = 0 AS fallback_used, CASE WHEN event_id % 7 = 0 AND event_id % 5 = 0 THEN 'all models failed' END AS error, CASE WHEN event_id % 5 <> 0 THEN round(event_id % 10 * 100 * 0.003 / 1000 * 10, 6) WHEN event_id % 7 <> 0 THEN 0.015 END AS cost FROM events")
+def routed_responses(spark, sf_dir):
+    """Primary answers fail for every fifth key, fallback answers for every seventh."""
+    e = table(spark, sf_dir, "events")
+    asked = responders.prompts(e, "event_id", "smart", "system", "props")
+    first = e.selectExpr("CAST(event_id AS STRING) AS key", "props AS response", "event_id % 10 * 1000 AS input_tokens", "0 AS output_tokens", "event_id % 5 = 0 AS failed")
+    second = e.selectExpr("CAST(event_id AS STRING) AS key", "props AS response", "0 AS input_tokens", "1000 AS output_tokens", "event_id % 7 = 0 AS failed")
+    return responders.routed(asked, first, second).select("key", "fallback_used", "error", "cost")
+
+
 @query()
 def analyze_results(spark, sf_dir):
     return analysis.analyze(extraction_rows(spark, sf_dir))["results"].drop("weights", "method_log")
