@@ -5,8 +5,8 @@ share at least l of their first |x| - ceil(t |x|) + l shingles, for every l, in
 a set that takes a longer prefix may ask for more shared shingles before it is verified.
 
 Order. Shingles are ordered by layer of the hash, then by how many sets hold them, then by hash. A set counts only the
-shingles of as many layers as hold a good deal more than its longest prefix, so about a sixth of all shingles are counted,
-in packed blocks dealt by hash. What one set alone holds comes first and meets nothing: sets that share only a common
+shingles of as many layers as hold a good deal more than its longest prefix, so about a quarter of all shingles are counted
+at 90 percent, in packed blocks dealt by hash. What one set alone holds comes first and meets nothing: sets that share only a common
 passage have no shared shingle in their prefixes.
 
 Adaptive prefixes. Each set picks l from 1 to LONGEST by its estimated cost: the lengths of the lists that its prefix
@@ -20,6 +20,7 @@ different components are left to make, all of them; a pair inside a component co
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,9 @@ from metasieve.llm.common import bounded_batches, map_batches, stored
 
 #: Words of a shingle and least similarity in percent, unless a caller says otherwise.
 WORDS, PERCENT = 5, 80
-#: Longest multi-match prefix; layers of the hash space, as upper bounds of shares of it.
+#: Longest multi-match prefix; the first layer of the hash space, in times the share of a prefix.
 LONGEST = 4
-LAYERS = (0.08, 0.16, 0.24, 0.32, 0.48, 0.64, 1.0)
+FIRST_LAYER = 2.2
 #: Rounds against central sets, at most; they end when the pairs left are no more than this many for each posting.
 ROUNDS, LEFT = 4, 4
 #: Most document ids, of 8 bytes each, that are broadcast.
@@ -41,12 +42,25 @@ BROADCAST_IDS = 2_000_000
 #: Words remembered by a worker.
 REMEMBERED = 400_000
 
-_BOUNDS = np.array([int(x * (1 << 64)) - 1 if x < 1 else (1 << 64) - 1 for x in LAYERS], np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _HASHES: dict[bytes, int] = {}
 
 
+@lru_cache(maxsize=16)
+def bounds(percent: int) -> np.ndarray:
+    """Upper bounds of the layers of the hash space: the first holds twice a long set's prefix, the next ones double it.
+
+    Within a layer the rare shingles come first, so a common one of the first layer is in the prefix only of a set that
+    has too few of its own there.
+    """
+    share, out = FIRST_LAYER * (100 - percent) / 100, []
+    while 0 < share < 1:
+        out.append(int(share * (1 << 64)) - 1)
+        share *= 2
+    return np.array([*out, (1 << 64) - 1], np.uint64)
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _MIX[0]
     h = (h ^ (h >> np.uint64(27))) * _MIX[1]
@@ -89,7 +103,8 @@ def least_shared(n: int, percent: int) -> int:
 def sent(s: np.ndarray, percent: int) -> np.ndarray:
     """The shingles that a set has counted: whole layers, until they hold well over its longest prefix."""
     enough = int(1.3 * (len(s) - least_shared(len(s), percent) + LONGEST)) + 4
-    return s[: np.searchsorted(s, _BOUNDS[min(len(LAYERS) - 1, int(np.searchsorted(np.searchsorted(s, _BOUNDS, "right"), enough)))], "right")]
+    ends = np.searchsorted(s, bounds(percent), "right")
+    return s[: ends[min(len(ends) - 1, int(np.searchsorted(ends, enough)))]]
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -102,7 +117,7 @@ def _sets_of(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, words) for t in b.column(1).to_pylist()]
-        counts = [np.bincount(np.searchsorted(_BOUNDS, sent(s, percent)), minlength=len(LAYERS)).tolist() for s in sets]
+        counts = [np.bincount(np.searchsorted(bounds(percent), sent(s, percent)), minlength=len(bounds(percent))).tolist() for s in sets]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([signature(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "sig", "n", "counts"])
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, sig long, n long, counts array<int>")
@@ -145,7 +160,7 @@ def _counted(docs: DataFrame, words: int, percent: int) -> DataFrame:
         df = np.repeat(np.diff(np.r_[first, len(h)]), np.diff(np.r_[first, len(h)]))
         kept = df > 1
         h, owner, df = h[kept], owner[kept], df[kept]
-        layer = np.searchsorted(_BOUNDS, h).astype(np.int32)
+        layer = np.searchsorted(bounds(percent), h).astype(np.int32)
         for at in range(0, len(h), 100_000):
             s = slice(at, at + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(owner[s]), pa.array(layer[s]), pa.array(df[s].astype(np.int64)), pa.array(h[s].view(np.int64))], ["sig", "layer", "df", "h"])
@@ -194,7 +209,7 @@ def _postings(counted: DataFrame, classes: DataFrame, percent: int) -> DataFrame
                         column.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["h", "sig", "n", "own", "l"])
 
-    # a set has counted about a sixth of its shingles, so the list of one is bounded by its own text
+    # a set has counted a part of its shingles, so the list of one is bounded by its own text
     lists = counted.groupBy("sig").agg(F.collect_list(F.struct("layer", "df", "h")).alias("seen"))
     return map_batches(lists.join(classes.select("sig", "n", "counts"), "sig").select("sig", "n", "counts", "seen"), run, kind)
 
