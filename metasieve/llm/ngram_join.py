@@ -113,26 +113,25 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _sets_of(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, sig, n, counts (shingles counted in each layer) of every row; sig is null for an empty set."""
+    """doc_id, sig, n, counts (shingles counted in each layer), sent (their hashes) of every row; sig is null for an empty set."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, words) for t in b.column(1).to_pylist()]
-        counts = [np.bincount(np.searchsorted(bounds(percent), sent(s, percent)), minlength=len(bounds(percent))).tolist() for s in sets]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([signature(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "sig", "n", "counts"])
+        told = [sent(s, percent) for s in sets]
+        counts = [np.bincount(np.searchsorted(bounds(percent), s), minlength=len(bounds(percent))).tolist() for s in told]
+        columns = [b.column(0), pa.array([signature(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(counts, pa.list_(pa.int32())), pa.array([s.tobytes() for s in told], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "sig", "n", "counts", "sent"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, sig long, n long, counts array<int>")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, sig long, n long, counts array<int>, sent binary")
 
 
-def _counted(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """sig, n, own, layer, df, h: the counted shingles that two classes or more have counted; own comes with _own()."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _counted(members: DataFrame, percent: int) -> DataFrame:
+    """sig, layer, df, h: the counted shingles that two classes or more have counted, from the rows of _sets_of()."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = {}
-            for t in b.column(0).to_pylist():
-                if len(s := shingles(t, words)):
-                    sets[signature(s)] = sent(s, percent)
+            sets = {sig: np.frombuffer(s, np.uint64) for sig, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
             if not sets:
                 continue
             h = np.concatenate([*sets.values()])
@@ -165,8 +164,8 @@ def _counted(docs: DataFrame, words: int, percent: int) -> DataFrame:
             s = slice(at, at + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(owner[s]), pa.array(layer[s]), pa.array(df[s].astype(np.int64)), pa.array(h[s].view(np.int64))], ["sig", "layer", "df", "h"])
 
-    bounded_batches(docs.sparkSession)
-    packed = docs.select("text").mapInArrow(pack, "part int, h binary, owner binary")
+    bounded_batches(members.sparkSession)
+    packed = members.filter("sig IS NOT NULL").select("sig", "sent").mapInArrow(pack, "part int, h binary, owner binary")
     return packed.repartition(parts, "part").mapInArrow(count, "sig long, layer int, df long, h long")
 
 
@@ -281,9 +280,10 @@ def class_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     """(members, labels): doc_id, sig, n of every row, and the component label of every sig that links to another one."""
     spark = docs.sparkSession
     members = stored(_sets_of(docs, words, percent), "sets-of")
-    counted = stored(_counted(docs, words, percent), "counted")
+    counted = stored(_counted(members, percent), "counted")
     classes = members.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("counts").alias("counts"))
-    postings = stored(_open_lists(_labelled(_postings(counted, classes, percent), [])).drop("comp"), "postings")
+    prefixes = stored(_postings(counted, classes, percent), "prefixes")  # read twice, chosen once
+    postings = stored(_open_lists(prefixes.withColumn("comp", F.col("sig"))).drop("comp"), "postings")
     # a class of rows without an id is read by the text of one of them: such rows are few, but may have links
     wanted = stored(classes.join(postings.select("sig").distinct(), "sig", "left_semi").select("doc_id"), "wanted")
     sets = _sets(docs.filter("doc_id IS NOT NULL"), wanted.filter("doc_id IS NOT NULL"), words)
