@@ -259,14 +259,13 @@ def _all_sets(docs: DataFrame, words: int) -> DataFrame:
     return map_batches(docs.select("text"), run, "sig long, tokens binary")
 
 
-def _labelled(postings: DataFrame, edges: list[DataFrame]) -> DataFrame:
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, label of the components of links (a, b) and of labels: what is labelled enters as one link to its label."""
+    return components(links if labels is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links.select("a", "b")))
+
+
+def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings with comp: the component of the links found so far."""
-    if not edges:
-        return postings.withColumn("comp", F.col("sig"))
-    found = edges[0]
-    for e in edges[1:]:
-        found = found.union(e)
-    labels = components(found)
     return postings.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("label", "sig")).drop("label")
 
 
@@ -288,7 +287,7 @@ def class_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     wanted = stored(classes.join(postings.select("sig").distinct(), "sig", "left_semi").select("doc_id"), "wanted")
     sets = _sets(docs.filter("doc_id IS NOT NULL"), wanted.filter("doc_id IS NOT NULL"), words)
     sets = stored(sets.union(_all_sets(docs.filter("doc_id IS NULL"), words)).dropDuplicates(["sig"]), "sets")
-    edges: list[DataFrame] = []
+    labels = None
     left = postings.withColumn("comp", F.col("sig"))
     for _ in range(ROUNDS):
         # the set with the fewest shingles of its own is the centre of a list; of those that it cannot join, another is
@@ -297,8 +296,11 @@ def class_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         pairs = pairs.filter((F.col("comp") != F.col("cc")) & _close(percent, "n", "cn")).groupBy("sig", "cs").agg(F.count(F.lit(1)).alias("met"))
         # one centre for each set in a round: the one that it meets most
         pairs = pairs.groupBy("sig").agg(F.max_by("cs", F.struct("met", "cs")).alias("cs")).select(F.least("sig", "cs").alias("a"), F.greatest("sig", "cs").alias("b")).distinct()
-        edges.append(stored(_verified(pairs, sets, percent), "edges"))
-        left = stored(_open_lists(_labelled(postings, edges)), "left")
+        links = stored(_verified(pairs, sets, percent), "edges")
+        if not links.limit(1).count():
+            break  # the same centres would come again
+        labels = _joined(labels, links)
+        left = stored(_open_lists(_labelled(left.drop("comp"), labels)), "left")
         size = left.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
         rest, rows = size.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0)), F.coalesce(F.sum("s"), F.lit(0))).first()
         if rest <= LEFT * rows:
@@ -306,11 +308,10 @@ def class_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     a, b = left.alias("a"), left.alias("b")
     met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.sig") < F.col("b.sig")) & (F.col("a.comp") != F.col("b.comp")) & (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent))
     met = met.groupBy(F.col("a.sig").alias("a"), F.col("b.sig").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("a.l", "b.l")).alias("needed"))
-    edges.append(stored(_verified(met.filter("shared >= needed"), sets, percent), "edges"))
-    found = edges[0]
-    for e in edges[1:]:
-        found = found.union(e)
-    return members, components(found) if found.limit(1).count() else spark.createDataFrame([], "node long, label long")
+    links = stored(_verified(met.filter("shared >= needed"), sets, percent), "edges")
+    if links.limit(1).count():
+        labels = _joined(labels, links)
+    return members, labels if labels is not None else spark.createDataFrame([], "node long, label long")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
