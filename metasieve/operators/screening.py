@@ -118,9 +118,10 @@ def included(studies: DataFrame, results: DataFrame) -> DataFrame:
 def screen_fulltext(studies: DataFrame, votes: DataFrame) -> DataFrame:
     """studies (study_id, content) with decision, confidence, reason: without content a study is included."""
     v = votes.select("study_id", valid_fulltext(F.col("decision"), F.col("confidence")).alias("v"))
-    empty = F.coalesce("content", F.lit("")) == ""
+    # found before the join, which then need not carry the texts where they are not asked for
+    marked, empty = studies.withColumn("_empty", F.coalesce("content", F.lit("")) == ""), F.col("_empty")
     none = F.struct(F.lit("include").alias("decision"), F.lit(0).alias("confidence"))
-    return studies.join(v, "study_id", "left").withColumn("v", F.when(empty | F.col("v").isNull(), none).otherwise(F.col("v"))).select(*studies.columns, "v.decision", "v.confidence", F.when(empty, "no full text available").alias("reason"))
+    return marked.join(v, "study_id", "left").withColumn("v", F.when(empty | F.col("v").isNull(), none).otherwise(F.col("v"))).select(*studies.columns, "v.decision", "v.confidence", F.when(empty, "no full text available").alias("reason"))
 
 
 def prisma_counts(raw: Column, deduplicated: Column, prescreen_excluded: Column, screened: Column, screen_excluded: Column, human_review: Column, fulltext_assessed: Column, fulltext_excluded: Column, included_n: Column, not_retrieved: Column) -> Column:

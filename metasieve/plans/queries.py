@@ -398,7 +398,7 @@ def included_studies(spark, sf_dir):
 
 @query("SELECT d.doc_id AS study_id, CASE WHEN d.doc_id % 6 = 0 OR l.doc_id IS NULL THEN 'include' WHEN d.doc_id % 11 = 0 THEN 'include' WHEN quality = 1 THEN 'include' ELSE 'exclude' END AS decision, CASE WHEN d.doc_id % 6 = 0 OR l.doc_id IS NULL OR d.doc_id % 11 = 0 THEN 0 ELSE 90 END AS confidence, CASE WHEN d.doc_id % 6 = 0 THEN 'no full text available' END AS reason FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def fulltext_filter(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("study_id"), F.expr("CASE WHEN doc_id % 6 <> 0 THEN 'text' END").alias("content"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("study_id"), F.expr("CASE WHEN doc_id % 6 <> 0 THEN text END").alias("content"))
     v = table(spark, sf_dir, "labels").selectExpr("doc_id AS study_id", "CASE WHEN doc_id % 11 = 0 THEN 'unsure' WHEN quality = 1 THEN 'include' ELSE 'exclude' END AS decision", "90 AS confidence")
     return screening.screen_fulltext(docs, v).select("study_id", "decision", "confidence", "reason")
 
