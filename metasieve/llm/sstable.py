@@ -55,8 +55,8 @@ class SpanEncoder:
     """Ids of whole texts by the tokenizers library, with what repeats encoded once.
 
     For tokenizers that lower-case, drop white space and split at it, so that no token crosses a space: a text is cut at
-    its spaces, and Latin spans at their pre-tokens too, which letter case and punctuation then do not multiply. What is
-    new goes to the library, many pieces in a call.
+    its spaces, and Latin spans at their pre-tokens too, which letter case and punctuation then do not multiply. Spans that
+    hold an added token, such as <|endoftext|>, stay whole. What is new goes to the library, many pieces in a call.
     """
 
     def __init__(self, path: str):
@@ -64,7 +64,9 @@ class SpanEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [a.content for a in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(re.search(r"\s", a) for a in self.added):
+            raise ValueError("an added token holds white space")
         probe = "Ab's  cd1 \nÉ2x, 'tis ..!a"
         if [i for p in PRE_TOKENS(probe.lower()) for i in self._call([p])[0]] != self._call([probe])[0].tolist():
             raise ValueError("the tokenizer splits text in another way")
@@ -98,7 +100,7 @@ class SpanEncoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [t.replace("\n", " ").split(" ") for t in rows]
         new = self._missing(set().union(*split), *self.spans)
-        cut = {p: PRE_TOKENS(p.lower()) if LATIN(p) else None for p in new}
+        cut = {p: PRE_TOKENS(p.lower()) if LATIN(p) and not any(a in p or a in p.lower() for a in self.added) else None for p in new}
         new_pieces = self._missing({q for parts in cut.values() if parts for q in parts}, *self.pieces)
         spans, pieces = self.spans[0], self.pieces[0]
         others = [p for p, parts in cut.items() if parts is None]
