@@ -7,13 +7,17 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch sent to Python; with the byte bound below it keeps a worker's memory flat.
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
+#: Characters of texts that are worked on together.
+PORTION = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,6 +74,49 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def portions(rows: list[str], size: int = PORTION) -> Iterator[list[str]]:
+    """rows in portions of about size characters, or one longer row."""
+    held, n = [], 0
+    for t in rows:
+        held.append(t)
+        n += len(t)
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+class Ragged:
+    """Values of different lengths behind one another, to be laid out by number."""
+
+    def __init__(self, values: list[bytes], kind: type = np.uint8):
+        self.data = np.frombuffer(b"".join(values), kind)
+        self.sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.data.itemsize
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def laid_out(self, numbers: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of these numbers in turn, and where each run of numbers, which stop at ends, stops among them."""
+        size = self.sizes[numbers]
+        stop = np.cumsum(size)
+        place = np.repeat(self.starts[numbers] - stop + size, size)
+        place += np.arange(len(place))
+        return self.data[place], np.r_[0, stop][ends]
+
+
+def split_spans(rows: list[str], lower: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct spans between spaces, the number of each span of all rows in turn, where each row's spans stop).
+
+    With lower, A-Z are lower-cased first.
+    """
+    column = pa.array(rows, pa.large_string())
+    if lower:
+        column = pc.ascii_lower(column)
+    lists = pc.split_pattern(column, " ")
+    coded = lists.values.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy()[1:]
+
+
 def is_held_out(doc_id: Column | str = "doc_id") -> Column:
     """crc32(doc_id as text) mod 5 = 0; a null id counts as the empty text, whose remainder is 0."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metasieve.llm.byte_bpe import decode_documents, encode_documents
+from metasieve.llm.byte_bpe import round_trips
 from metasieve.llm.common import scratch
 from metasieve.llm.decontam import find_leaks
 from metasieve.llm.exact_dedup import exact_dedup
@@ -60,8 +60,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = decode_documents(encode_documents(_table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trips(_table(spark, sf_dir, "documents"), ranks, pattern)
 
 
 def op8_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:

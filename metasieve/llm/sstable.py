@@ -19,14 +19,16 @@ totals come back as one small row for each shard; `start` positions are sums ove
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
 import uuid
 from array import array
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metasieve.llm.common import blob, bounded_batches, texts
+from metasieve.llm.common import Ragged, blob, bounded_batches, portions, split_spans, texts
 
 BLOCK_BYTES = 1 << 16
 BLOOM_BITS, BLOOM_PROBES = 10, 7
@@ -55,7 +57,7 @@ class SpanEncoder:
     """Ids of whole texts by the tokenizers library, with what repeats encoded once.
 
     For tokenizers that lower-case, drop white space and split at it, so that no token crosses a space: a text is cut at
-    its spaces, and Latin spans at their pre-tokens too, which letter case and punctuation then do not multiply. Spans that
+    its spaces, and Latin spans at their pre-tokens too, which letter case and punctuation then do not multiply. Texts that
     hold an added token, such as <|endoftext|>, stay whole. What is new goes to the library, many pieces in a call.
     """
 
@@ -65,8 +67,8 @@ class SpanEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [a.content for a in self.tokenizer.get_added_tokens_decoder().values()]
-        if any(re.search(r"\s", a) for a in self.added):
-            raise ValueError("an added token holds white space")
+        #: whether a text holds an added token, in any letter case: such a text goes to the library whole
+        self.marks = re.compile("|".join(map(re.escape, self.added)) or r"(?!)", re.IGNORECASE).search
         probe = "Ab's  cd1 \nÉ2x, 'tis ..!a"
         if [i for p in PRE_TOKENS(probe.lower()) for i in self._call([p])[0]] != self._call([probe])[0].tolist():
             raise ValueError("the tokenizer splits text in another way")
@@ -77,10 +79,11 @@ class SpanEncoder:
         return [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     @staticmethod
-    def _missing(wanted: set[str], young: dict[str, bytes], old: dict[str, bytes]) -> list[str]:
+    def _missing(wanted: Iterable[str], generations: list[dict[str, bytes]]) -> list[str]:
         """What neither generation has; what the old one has moves to the young one."""
+        young, old = generations
         out = []
-        for p in wanted.difference(young):
+        for p in filterfalse(young.__contains__, wanted):
             if (found := old.get(p)) is None:
                 out.append(p)
             else:
@@ -92,26 +95,44 @@ class SpanEncoder:
         young = generations[0]
         for p in new:
             if len(p) > CACHE_CHARS:
-                del young[p]
+                young.pop(p, None)
         if len(young) > CACHE_SPANS:
             generations[:] = [{}, young]
 
     def encode_all(self, rows: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.replace("\n", " ").split(" ") for t in rows]
-        new = self._missing(set().union(*split), *self.spans)
-        cut = {p: PRE_TOKENS(p.lower()) if LATIN(p) and not any(a in p or a in p.lower() for a in self.added) else None for p in new}
-        new_pieces = self._missing({q for parts in cut.values() if parts for q in parts}, *self.pieces)
-        spans, pieces = self.spans[0], self.pieces[0]
-        others = [p for p, parts in cut.items() if parts is None]
-        todo = new_pieces + others
-        for at in range(0, len(todo), 10_000):
-            for k, ids in enumerate(self._call(todo[at : at + 10_000]), at):
-                (pieces if k < len(new_pieces) else spans)[todo[k]] = ids.tobytes()
+        out: list[bytes] = [b""] * len(rows)
+        marked = {k for k, t in enumerate(rows) if self.marks(t)}
+        for k, ids in zip(marked, self._call([rows[k] for k in marked]), strict=True):
+            out[k] = ids.tobytes()
+        latin = {k for k, t in enumerate(rows) if k not in marked and (t.isascii() or LATIN(t))}
+        # letter case may bear on the normal form of other letters
+        for some, lower in ((sorted(latin), True), ([k for k in range(len(rows)) if k not in marked and k not in latin], False)):
+            if some:
+                spans, numbers, ends = split_spans([rows[k].replace("\n", " ") for k in some], lower)
+                ids, stops = Ragged(self._spans(spans), np.uint32).laid_out(numbers, ends)
+                data, at = ids.astype("<u4").tobytes(), [0, *(4 * stops).tolist()]
+                for k, x, y in zip(some, at, at[1:], strict=False):
+                    out[k] = data[x:y]
+        return out
+
+    def _spans(self, spans: list[str]) -> list[bytes]:
+        """The ids of each of these different spans."""
+        got = [self.pieces[0].get(p) or self.spans[0].get(p) for p in spans]
+        missing = [p for p, g in zip(spans, got, strict=True) if g is None]
+        plain = {p for p in missing if p.isascii() and p.islower() and p.isalpha()}
+        new = self._missing([p for p in missing if p not in plain], self.spans)
+        cut = {p: PRE_TOKENS(p.lower()) if LATIN(p) else None for p in new}
+        new_pieces = self._missing(plain.union(*[parts for parts in cut.values() if parts]), self.pieces)
+        whole, pieces = self.spans[0], self.pieces[0]
+        for where, todo in ((pieces, new_pieces), (whole, [p for p, parts in cut.items() if parts is None])):
+            for at in range(0, len(todo), 10_000):
+                some = todo[at : at + 10_000]
+                where.update(zip(some, [ids.tobytes() for ids in self._call(some)], strict=True))
         for p, parts in cut.items():
             if parts is not None:
-                spans[p] = b"".join([pieces[q] for q in parts])
-        out = [b"".join(map(spans.__getitem__, parts)) for parts in split]
+                whole[p] = b"".join([pieces[q] for q in parts])
+        out = [(pieces[p] if p in plain else whole[p]) if g is None else g for p, g in zip(spans, got, strict=True)]
         self._forget(self.spans, new)
         self._forget(self.pieces, new_pieces)
         return out
@@ -281,9 +302,11 @@ def write_sstables(docs: DataFrame, tokenizer_file: str, end_id: int, path: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, writer, first, attempt = _encoder(tokenizer_file), struct.pack("<I", end_id), None, b"", uuid.uuid4().hex
         fs, base = blob(path)
+        gc.disable()  # nothing here makes cycles
         for b in batches:
             ids = b.column(0).to_pylist()
-            for doc_id, value in zip(ids, encoder.encode_all(texts(b.column(1))), strict=True):
+            coded = (x for part in portions(texts(b.column(1))) for x in encoder.encode_all(part))
+            for doc_id, value in zip(ids, coded, strict=True):
                 key = key_of(doc_id)
                 if writer is None:
                     first = key

@@ -1,6 +1,7 @@
 """Byte-level BPE, sorted-string tables and token rollups against the tokenizer libraries."""
 
 import base64
+import hashlib
 import random
 import struct
 import zlib
@@ -11,15 +12,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from metasieve.llm.byte_bpe import ByteBpe, decode_documents, encode_documents, read_ranks
+from metasieve.llm.byte_bpe import ByteBpe, decode_documents, encode_documents, read_ranks, round_trips
 from metasieve.llm.common import scratch
 from metasieve.llm.sstable import SpanEncoder, id_of, key_of, lookup, read_sstables, write_sstables
 from metasieve.llm.token_rollup import TokenRollup, changes, count_tokens
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 WORDS = P.path("word_bpe_49k.json")
-ODD = ["", " ", "  ", "\n", " a", "a ", "a  b", "a \n b", "a\n  b\n\n c ", "don't  DON'T 'S 'll", "x" * 5000, "ab" * 3000, "é" * 700, "a\x1cb \x1c c", "  a  b", "1234 5 67", "👩‍👩‍👧 ok", "́a ́b H̱ ΑΣ ΑΣ.", "\x01", "a \x01 b", "İI ıi", " " * 300 + "a", "\t\ta\tb "]
-docs_text = st.lists(st.sampled_from([" ", "  ", "\n", "the", " thon", "'s", "É", "9", "\t", "!!", "ß", " ", "\x1f", "中文", "aaaa", "́"]), max_size=30).map("".join)
+ODD = ["", " ", "  ", "\n", " a", "a ", "a  b", "a \n b", "a\n  b\n\n c ", "don't  DON'T 'S 'll", "x" * 5000, "ab" * 3000, "é" * 700, "a\x1cb \x1c c", "  a  b", "1234 5 67", "👩‍👩‍👧 ok", "́a ́b H̱ ΑΣ ΑΣ.", "\x01", "a \x01 b", "İI ıi", " " * 300 + "a", "\t\ta\tb ", "A <|endoftext|> b", "<|STARTOFTEXT|> H̱<|startoftext|>"]
+docs_text = st.lists(st.sampled_from([" ", "  ", "\n", "the", " thon", "'s", "É", "9", "\t", "!!", "ß", " ", "\x1f", "中文", "aaaa", "́", "<|endoftext|>", "Ḥ"]), max_size=30).map("".join)
 
 
 @pytest.fixture(scope="module")
@@ -28,9 +29,7 @@ def libraries():
     from tokenizers import Tokenizer
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
-    words = Tokenizer.from_file(WORDS)
-    words.encode_special_tokens = True
-    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), words
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), Tokenizer.from_file(WORDS)
 
 
 BPE = ByteBpe(read_ranks(RANKS), P.PATTERN)
@@ -59,6 +58,34 @@ def test_odd_texts(libraries):
         assert list(struct.unpack(f"<{len(SPANS.encode_all([t])[0]) // 4}I", SPANS.encode_all([t])[0])) == libraries[1].encode(t, add_special_tokens=False).ids, repr(t[:20])
 
 
+def test_another_pattern_is_not_cut_at_spaces(libraries):
+    import tiktoken
+
+    pattern = r"\S+ |\S+|\s+"
+    bpe = ByteBpe(BPE.ranks, pattern)
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=BPE.ranks, special_tokens={})
+    assert [bpe.encode(t) for t in ODD] == [other.encode_ordinary(t) for t in ODD]
+
+
+def test_round_trips(spark, libraries):
+    df = docs(spark)
+    got = round_trips(df, RANKS, P.PATTERN, with_ids=True).collect()
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    want = []
+    for r in df.collect():
+        ids = libraries[0].encode_ordinary(r.text or "")
+        want.append((str(r.doc_id), len(ids), sha(",".join(map(str, ids)).encode()), sha((r.text or "").encode()), len((r.text or "").encode()), ids))
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256, r.n_bytes, list(r.ids)) for r in got) == sorted(want)
+    assert round_trips(df.limit(0), RANKS, P.PATTERN).count() == 0
+
+
+def test_pieces_are_merged_apart_from_each_other():
+    """Pre-tokens that are in the queue together get what each gets alone."""
+    rng = random.Random(2)
+    pieces = [bytes(rng.choice(b"aabthein ") for _ in range(rng.choice([0, 1, 2, 5, 9, 40]))) for _ in range(400)]
+    assert BPE.merge_all(pieces) == [BPE.merge_all([p])[0] for p in pieces]
+
+
 def test_merge_is_the_plain_rule():
     """Lowest rank first, leftmost first among equals, against a quadratic version, on long pre-tokens."""
     rng = random.Random(1)
