@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,14 +22,19 @@ PORTION = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder serves a local master. On a cluster it is an error, since each executor would
+    write to its own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = getattr(spark.sparkContext, "_metasieve_shared", None)
         if not found:
             found = "file://" + tempfile.mkdtemp(prefix="metasieve-")
             spark.sparkContext._metasieve_shared = found
-            spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 

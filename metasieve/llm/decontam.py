@@ -176,7 +176,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, bl
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no benchmark item; rows with a null doc_id are matched alike."""
-    leaks = find_leaks(docs, benchmark, errors).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no benchmark item within its error budget.
+
+    Each row is judged by its own text, so neither null nor repeated ids matter; null and empty texts hold nothing and stay.
+    Other columns may have any name. An empty table gives none, and an empty benchmark drops nothing.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    at_text = docs.columns.index("text")
+
+    def clean(rows: DataFrame, items) -> DataFrame:
+        key = uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(key, errors, items)
+            for b in batches:
+                yield b.filter(pa.array([not matcher.matches(t) for t in b.column(at_text).to_pylist()], pa.bool_()))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    wanted = benchmark.select(F.col("item_id").cast("string"), "text").filter(F.col("text").isNotNull())
+    return reduce(clean, (spark.sparkContext.broadcast(block) for block in _blocks(wanted, block_chars)), docs)

@@ -1,9 +1,11 @@
 """Exact deduplication by skew-safe combining.
 
-Texts are equal when identical after replacing each run of ASCII white space by one space. Copies are merged in three
-steps, each comparing the full normalised content beside its digest: Spark's map-side combine merges the copies of a
-task, the salted groups merge what tasks of one salt hold, and the salt winners merge globally. A group that holds a
-third of all rows therefore reaches the last step as at most SALTS rows.
+Texts are equal when identical after replacing each run of ASCII white space by one space. Digests are counted first, with
+partial sums, so that only rows whose digest repeats go on; how often it does tells how many salts its group is dealt over.
+Copies are then merged in three steps, each comparing the full normalised content beside the digest: Spark's map-side
+combine merges the copies of a task, the salted groups merge what tasks of one salt hold, and the salt winners merge
+globally. The rows meet their winner by digest, content and salt again, with the winner of a large group once for each of
+its salts. A group that holds a third of all rows is thus never in one task, at any step, but as one row for each salt.
 """
 
 from __future__ import annotations
@@ -11,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Salts of a digest group.
-SALTS = 16
+#: Rows of a group for each of its salts; salts of the rows that look up how often their digest occurs.
+SALT_ROWS, SALTS = 1000, 16
 #: White space, as in the contract: fixed values.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -23,37 +25,44 @@ def normalised(text: Column | str) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, " ")
 
 
-def duplicate_classes(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """One row per distinct normalised text: _d (sha256), _h, _n (further digests), keep_id, group_size.
+def _salt(of: Column, salts: Column) -> Column:
+    return F.pmod(F.xxhash64(of), salts).cast("int")
 
-    keep_id is the smallest doc_id of the group; null ids count in group_size and are kept only by a group of nulls.
-    Two different texts with equal digests stay apart, since the content is part of every grouping key.
+
+def classified(docs: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """row (a struct of all columns of docs), id, t (normalised text), d (its sha256), keep_id, group_size of every row.
+
+    keep_id is the smallest doc_id of the group; null ids count in group_size and name only a group of nulls. Different
+    texts with one digest stay apart, since the content is part of every grouping and join key.
     """
-    rows = docs.select(F.col("doc_id").alias("_id"), normalised("text").alias("_t"))
-    rows = rows.withColumn("_s", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int")).withColumn("_d", F.sha2("_t", 256))
-    salted = rows.groupBy("_d", "_s", "_t").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_c"))
-    winners = salted.groupBy("_d", "_t").agg(F.min("_id").alias("keep_id"), F.sum("_c").alias("group_size"))
-    return winners.select("_d", F.xxhash64("_t").alias("_h"), F.octet_length("_t").alias("_n"), "keep_id", "group_size")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), normalised("text").alias("t"))
+    rows = rows.withColumn("d", F.sha2("t", 256))
+    often = docs.select(F.sha2(normalised("text"), 256).alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    often = often.select("d", F.ceil(F.col("n") / salt_rows).cast("long").alias("salts"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    found = rows.withColumn("s", _salt(F.col("id"), F.lit(SALTS))).join(often, ["d", "s"], "left")
+    alone = found.filter("salts IS NULL").select("row", "id", "t", "d", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    several = found.filter("salts IS NOT NULL").withColumn("s", _salt(F.col("id"), F.col("salts")))
+    salted = several.groupBy("d", "s", "t").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("c"), F.first("salts").alias("salts"))
+    winners = salted.groupBy("d", "t").agg(F.min("id").alias("keep_id"), F.sum("c").alias("group_size"), F.first("salts").alias("salts"))
+    winners = winners.select("d", "t", "keep_id", "group_size", F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1)).alias("s"))
+    return alone.unionByName(several.select("row", "id", "t", "d", "s").join(winners, ["d", "s", "t"]).drop("s"))
 
 
-def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+def exact_dedup(docs: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs (columns doc_id, text; others are ignored).
 
-    The row with the smallest doc_id of a group stays. Repeated doc_ids: all rows with the smallest id are marked kept
-    (use drop_duplicates_exact for one row per group). Null text: empty text. Null doc_id: such rows stay only where
-    their whole group has null ids, all of them marked kept. An empty table gives an empty result.
+    The row with the smallest doc_id of a group stays. Rows that repeat this id and text are all marked kept. Null text:
+    empty text. Null doc_id: such rows stay only where their whole group has null ids, all of them marked kept. An empty
+    table gives an empty result.
     """
-    classes = duplicate_classes(docs, salts)
-    t = normalised("text")
-    rows = docs.select("doc_id", F.sha2(t, 256).alias("text_sha256"), F.xxhash64(t).alias("_rh"), F.octet_length(t).alias("_rn"))
-    joined = rows.join(classes, (F.col("text_sha256") == F.col("_d")) & (F.col("_rh") == F.col("_h")) & (F.col("_rn") == F.col("_n")))
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    found = classified(docs.select("doc_id", "text"), salt_rows)
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("d").alias("text_sha256"))
 
 
-def drop_duplicates_exact(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns.
+def drop_duplicates_exact(docs: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with all their columns, which may have any name.
 
-    Ids are compared null-safely, so nothing but copies goes; several rows with one kept id and equal texts all stay.
+    Of each group the rows with the smallest doc_id stay: one row, or all that repeat both this id and the text. Null and
+    empty texts are one group. A null doc_id stays only where its whole group has none. An empty table gives none.
     """
-    gone = exact_dedup(docs, salts).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.sha2(normalised("text"), 256) == F.col("_gone_sha")), "left_anti")
+    return classified(docs, salt_rows).filter(F.col("id").eqNullSafe(F.col("keep_id"))).select("row.*")

@@ -185,7 +185,11 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, whose score reaches the threshold."""
+    """The rows of docs, with all their columns, whose score reaches the threshold, ties included.
+
+    Null and empty texts are scored as the empty text is; rows that repeat an id are judged each by its own text. Other
+    columns may have any name. An empty table gives none.
+    """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at_text = docs.columns.index("text")

@@ -36,6 +36,18 @@ def test_exact(spark):
     assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 2, 4, 7, 8, 9]
     assert exact_dedup(frame(spark, rows).limit(0)).count() == 0
+    assert sorted(map(str, exact_dedup(frame(spark, rows), salt_rows=2).collect())) == sorted(map(str, got))
+
+
+def test_exact_compares_contents(spark, monkeypatch):
+    """Texts that share a digest stay apart, also in groups of several salts."""
+    from metasieve.llm import exact_dedup as module
+
+    monkeypatch.setattr(module.F, "sha2", lambda c, n: F.lit("same"))
+    rows = [(d, f"text {d % 3}") for d in range(30)] + [(99, "alone")]
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(frame(spark, rows), salt_rows=4).collect()}
+    assert got == {**{d: (d % 3, 10) for d in range(30)}, 99: (99, 1)}
+
 
 
 def test_lines(spark):

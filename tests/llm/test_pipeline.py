@@ -25,3 +25,27 @@ def test_pipeline(spark, tmp_path):
     assert set(got) == set(good)
     bpe = ByteBpe(read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
     assert all(list(got[d].ids) == bpe.encode(t) and got[d].n_bytes == len(t.encode()) for d, t in good.items())
+
+
+def test_stages_with_odd_rows_and_names(spark, tmp_path):
+    """Nulls, empty texts, repeated ids, equal rows and columns whose names operators use, through each stage."""
+    t = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, t), (5, t), (5, "another text of a few words that nothing else is like at all here"), (None, t), (None, None), (2, None), (3, ""), (1, t)]
+    names = ("_gone", "_gone_sha", "_leak", "_key", "t", "d", "s", "row", "keep_id", "sig", "x", "Id")
+    docs = spark.createDataFrame([(d, x, *range(k, k + len(names))) for k, (d, x) in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    spark.createDataFrame([(1, 1, 0), (None, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "words that nothing else is like"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {
+        "quality classifier": [0, 1, 2, 3, 4, 5, 6, 7],
+        "exact dedup": [0, 2, 5, 7],
+        "n-gram Jaccard join": [0, 2, 4, 5, 6, 7],
+        "benchmark decontamination": [0, 1, 3, 4, 5, 6, 7],
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        assert sorted(r["_gone"] for r in got.collect()) == want[name], name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    coded = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert coded.count() == 8 and coded.filter("n_tokens = 0").count() == 3
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
