@@ -1,16 +1,15 @@
 """A corpus pipeline: quality filter, exact and near deduplication, benchmark decontamination, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
-docs. Ties and missing values are settled as the operators' docstrings say.
+docs, whatever their names. An empty table passes through every stage.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from metasieve.llm.byte_bpe import decode_documents, encode_documents
+from metasieve.llm.byte_bpe import round_trips
 from metasieve.llm.common import stored
 from metasieve.llm.decontam import drop_leaks
 from metasieve.llm.exact_dedup import drop_duplicates_exact
@@ -19,30 +18,31 @@ from metasieve.llm.quality_knn import fit_quality, keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels, predicts to be good."""
+    """Documents that the classifier, fitted on the labels, predicts to be good; null and empty texts are scored as empty."""
     return keep_good(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of equal texts."""
+    """The document with the smallest id of each group of equal texts; null and empty texts are one group, a null id stays
+    only where its whole group has none, rows that repeat both id and text stay together."""
     return drop_duplicates_exact(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of similar ones (5-word shingles, similarity 0.8 or more)."""
+    """The document with the smallest id of each component of similar ones (5-word shingles, similarity 0.8 or more); texts
+    without words resemble nothing, a null id stays only where no other row of the component has one."""
     return drop_near_duplicates(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item within its error budget."""
+    """Documents that hold no benchmark item within its error budget; each row is judged by its own text."""
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, n_bytes: the byte-level BPE ids of each text, and the bytes that they decode to."""
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = decode_documents(encode_documents(docs, ranks, pattern), ranks, pattern)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.octet_length("decoded").cast("long").alias("n_bytes"))
+    return round_trips(docs, ranks, pattern, with_ids=True).select("doc_id", "n_tokens", "ids", "n_bytes")
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("benchmark decontamination", decontaminated), ("byte-level BPE", tokens)]
