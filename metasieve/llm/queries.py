@@ -93,15 +93,14 @@ _WS = r"[\x20\x09-\x0D]+"
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 LINE_DEDUP_SQL = rf"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents),
-k AS (SELECT doc_id, line, pos, {_AZ.format(r"regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')")} AS key FROM l),
-c AS (SELECT key, max(doc_id) AS last_id FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
-m AS (SELECT k.doc_id, k.line, k.pos, c.key IS NOT NULL AND k.doc_id <> c.last_id AS gone FROM k LEFT JOIN c ON k.key = c.key)
+WITH t AS (SELECT row_number() OVER () AS rn, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rn, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM t),
+k AS (SELECT rn, doc_id, line, pos, {_AZ.format(r"regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')")} AS key FROM l),
+c AS (SELECT key, max(doc_id) AS last_id FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT rn) >= 5),
+m AS (SELECT k.rn, k.doc_id, k.line, k.pos, c.key IS NOT NULL AND k.doc_id IS DISTINCT FROM c.last_id AS gone FROM k LEFT JOIN c ON k.key = c.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY rn, doc_id
 """
 
 EXACT_DEDUP_SQL = rf"""

@@ -75,11 +75,43 @@ def test_line_runs(spark):
         batch = line_hashes(docs.filter(F.col("doc_id") % 5 == k))
         assert runs.fresh_lines(batch).count() == (2 if k == 0 else runs.fresh_lines(batch).count())
         runs.add(batch)
-    assert sorted((r.n_docs, r.last_id) for r in runs.counts().collect()) == [(2, 1), (2, 3), (2, 5), (2, 7), (2, 9)]
+    assert sorted((r.n_docs, r.last_id) for r in runs.common().collect()) == [(2, 1), (2, 3), (2, 5), (2, 7), (2, 9)]
     assert max(runs.levels) >= 1 and runs.fresh_lines(line_hashes(docs)).count() == 0
+    again = LineRuns(spark, runs.folder, fanout=2)  # as a later job opens it
+    assert again.levels == runs.levels
+    again.add(line_hashes(frame(spark, [(50, "this line is number 3 and has more than forty characters"), (51, "a line that no other batch has, of forty characters")])))
+    assert sorted((r.n_docs, r.last_id) for r in again.common().collect()) == [(1, 51), (2, 1), (2, 3), (2, 5), (2, 9), (3, 50)]
+    assert [(r.n_docs, r.last_id) for r in again.common(3).collect()] == [(3, 50)]
+    again.drop()
+    assert LineRuns(spark, runs.folder).tables() == []
+
+
+def test_runs_are_read_in_order(spark):
+    """The merge of a batch with the runs sorts the batch alone, and shuffles it once."""
+    docs = frame(spark, [(k, f"this line is number {k} and has more than forty characters") for k in range(50)])
+    runs = LineRuns(spark, fanout=9)
+    runs.add(line_hashes(docs))
+    runs.add(line_hashes(docs))
+    from metasieve.llm.line_dedup import merged, sorted_buckets
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with sorted_buckets(spark):
+            plan = merged([runs.run(t) for t in runs.tables()])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "Sort [" not in plan and "Exchange" not in plan and "SortMergeJoin" in plan
     runs.drop()
 
 
+def test_lines_of_odd_rows(spark):
+    """Repeated and null ids are documents of their own, one long line in five rows of two ids goes but for the largest id."""
+    line = "A line that is longer than forty characters, for sure"
+    rows = [(1, line), (1, line), (1, line), (2, line + "\n" + line), (2, line), (None, line), (3, "x" * 200_000), (4, None)]
+    got = sorted(((r.doc_id, r.n_lines, r.n_dropped) for r in dedup_lines(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, 1, 1)] * 3 + [(2, 2, 0), (2, 1, 0), (None, 1, 1), (3, 1, 0), (4, 1, 0)], key=str)
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
