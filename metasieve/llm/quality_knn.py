@@ -1,25 +1,26 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-A document's terms are pairs of neighbouring bytes, folded to 64 classes, and a few kinds of words (written in capitals,
-with trailing symbols, repeats of the word before, ...). Term weights are square roots of shares, times an inverse
-document frequency; a truncated singular value decomposition of a bounded sample of labelled documents gives the latent
-space. The sample's vectors and labels are broadcast; every document is projected, its cosines with all of them are
-computed exactly, a block of documents at a time, and the nearest vote with weights that grow with similarity.
+A document's terms are pairs of neighbouring bytes, folded to 64 classes, and the shapes of its words, hashed to SHAPES
+numbers: a shape has the kinds of a word's characters in turn (capitals, other letters, digits, each sign as itself), with
+repeats of a kind folded, and says whether the word repeats the one before. Term weights are square roots of shares, times
+an inverse document frequency; a truncated singular value decomposition of a bounded sample of labelled documents gives
+the latent space. The sample's vectors and labels are broadcast; every document is projected, its cosines with all of them
+are computed exactly, a block of documents at a time, and the nearest vote with weights that grow with similarity.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metasieve.llm.common import bounded_batches, is_held_out, texts
+from metasieve.llm.common import bounded_batches, is_held_out, split_spans, texts
 
 #: Labelled documents that the model is fitted on, at most; chosen by a hash of their ids.
 SAMPLE = 4000
@@ -30,8 +31,9 @@ BLOCK = 512
 #: Score from which a document counts as good.
 THRESHOLD = 0.3
 
-CLASSES = 64
-KINDS = 12
+#: Classes of bytes, numbers of shapes, terms in all.
+CLASSES, SHAPES = 64, 2048
+TERMS = CLASSES * CLASSES + SHAPES
 
 
 def _byte_classes() -> np.ndarray:
@@ -59,34 +61,41 @@ def _byte_classes() -> np.ndarray:
 BYTE_CLASS = _byte_classes()
 
 
-def features(text: str) -> np.ndarray:
-    """Square roots of the shares of byte-class pairs, then of the kinds of words, in one float32 vector.
+def _kinds() -> bytes:
+    """Capitals, other letters and bytes beyond ASCII, and digits as one sign each; all other bytes as they are."""
+    return bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 
-    An empty text has no pairs and only its own kind set.
+
+KINDS = _kinds()
+_AGAIN = re.compile(rb"([^\n])\1+")
+
+
+def shape_numbers(words: list[str]) -> np.ndarray:
+    """An even number below SHAPES for each word (without line ends), by its shape."""
+    shapes = _AGAIN.sub(rb"\1", "\n".join(words).encode().translate(KINDS)).split(b"\n")
+    known = {x: zlib.crc32(x) % (SHAPES // 2) * 2 for x in set(shapes)}
+    return np.fromiter(map(known.__getitem__, shapes), np.int64, len(shapes))
+
+
+def features(rows: list[str]) -> np.ndarray:
+    """Square roots of the shares of byte-class pairs, then of word shapes, one row of float32 for each text.
+
+    An empty text has no pairs, and one empty word.
     """
-    out = np.zeros(CLASSES * CLASSES + KINDS, np.float32)
-    data = np.frombuffer(text.encode(), np.uint8)
-    if len(data) > 1:
-        c = BYTE_CLASS[data]
-        out[: CLASSES * CLASSES] = np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
-        out[: CLASSES * CLASSES] /= len(data) - 1
-    words = text.split()
-    n = len(words)
-    kinds = out[CLASSES * CLASSES :]
-    if n:
-        repeats = sum(map(eq, words, words[1:]))
-        upper = sum(map(str.isupper, words))
-        alpha = sum(map(str.isalpha, words))
-        kinds[0] = repeats / n
-        kinds[1] = upper / n
-        kinds[2] = alpha / n
-        kinds[3] = 1 - len(set(words)) / n
-        kinds[4] = text.count("|") / n
-        kinds[5] = min(1.0, text.count("\n") / n)
-        kinds[6] = sum(text.count(x) for x in "!*#$%&@^~") / len(text)
-        kinds[7] = 1 / (1 + np.log1p(n))
-    else:
-        kinds[8] = 1
+    out = np.zeros((len(rows), TERMS), np.float32)
+    if not rows:
+        return out
+    for x, text in zip(out, rows, strict=True):
+        c = BYTE_CLASS[np.frombuffer(text.encode(), np.uint8)]
+        if len(c) > 1:
+            x[: CLASSES * CLASSES] = np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
+            x[: CLASSES * CLASSES] /= len(c) - 1
+    words, numbers, ends = split_spans([" ".join(t.split()) for t in rows])
+    size = np.diff(np.r_[0, ends])
+    again = np.r_[False, numbers[1:] == numbers[:-1]]
+    again[np.r_[0, ends[:-1]]] = False
+    place = np.repeat(np.arange(len(rows)), size) * SHAPES + shape_numbers(words)[numbers] + again
+    out[:, CLASSES * CLASSES :] = np.bincount(place, minlength=len(rows) * SHAPES).reshape(-1, SHAPES) / size[:, None]
     return np.sqrt(out, out)
 
 
@@ -115,17 +124,12 @@ class Model:
         return (np.sum(w * self.labels[near], 1) + PRIOR * prior) / (np.sum(w, 1) + PRIOR)
 
 
-#: Weight of the kinds of words beside the pairs.
-KIND_WEIGHT = 2.0
-
-
 def fit(x: np.ndarray, labels: np.ndarray, dims: int = DIMS) -> Model:
     """The model of a sample's features: a randomised truncated SVD with a fixed seed."""
     if not len(x):
-        return Model(np.ones(CLASSES * CLASSES + KINDS, np.float32), np.zeros((CLASSES * CLASSES + KINDS, 1), np.float32), np.zeros((0, 1), np.float32), labels)
+        return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels)
     df = (x > 0).sum(0)
     weights = np.log((1 + len(x)) / (1 + df)).astype(np.float32) + np.float32(0.2)
-    weights[CLASSES * CLASSES :] = KIND_WEIGHT
     a = x * weights
     rng = np.random.default_rng(17)
     r = min(dims + 16, *a.shape)
@@ -150,15 +154,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                made = [zlib.compress(features(t).astype(np.float16).tobytes(), 1) for t in texts(b.column(2))]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], ["doc_id", "label", "x"])
+            for at in range(0, b.num_rows, BLOCK):
+                part = b.slice(at, BLOCK)
+                made = [zlib.compress(x.astype(np.float16).tobytes(), 1) for x in features(texts(part.column(2)))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.binary())], ["doc_id", "label", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = sorted(rows.mapInArrow(run, f"doc_id {kind}, label int, x binary").collect(), key=lambda r: (r.doc_id, bytes(r.x)))
     # documents that repeat an id would pass the bound
-    got = got[:sample]
-    x = np.array([np.frombuffer(zlib.decompress(r.x), np.float16) for r in got], np.float32).reshape(len(got), CLASSES * CLASSES + KINDS)
+    got = rows.mapInArrow(run, f"doc_id {kind}, label int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample).collect()
+    x = np.array([np.frombuffer(zlib.decompress(r.x), np.float16) for r in got], np.float32).reshape(len(got), TERMS)
     return fit(x, np.array([r.label for r in got], np.float64))
 
 
@@ -176,8 +180,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
         for b in batches:
             for at in range(0, b.num_rows, BLOCK):
                 part = b.slice(at, BLOCK)
-                x = np.array([features(t) for t in texts(part.column(1))], np.float32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.scores(x), pa.float64())], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.scores(features(texts(part.column(1)))), pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
@@ -199,7 +202,6 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
         for b in batches:
             for at in range(0, b.num_rows, BLOCK):
                 part = b.slice(at, BLOCK)
-                x = np.array([features(t) for t in texts(part.column(at_text))], np.float32)
-                yield part.filter(pa.array(m.scores(x) >= threshold))
+                yield part.filter(pa.array(m.scores(features(texts(part.column(at_text)))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
