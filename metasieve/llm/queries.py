@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metasieve.llm.byte_bpe import round_trips
-from metasieve.llm.common import scratch
+from metasieve.llm.common import scratch, stored
 from metasieve.llm.decontam import find_leaks
 from metasieve.llm.exact_dedup import exact_dedup
 from metasieve.llm.line_dedup import dedup_lines
@@ -37,10 +37,23 @@ def op2_sstable_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "byte_bpe_50k")
+    """Totals of the whole table, which it reaches by signed batches.
+
+    All documents come in under counts of their words; those counts are then revised to tokens; the documents without a
+    token are deleted and come back; each batch is replayed, two folds lie between them.
+    """
+    version = "byte_bpe_50k"
+    docs = _table(spark, sf_dir, "documents")
+    counted = stored(count_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, version), "counted")
+    rough = counted.select("source", "lang", "tokenizer", F.col("n_words").alias("n_tokens"))
+    empty = counted.filter("n_tokens = 0")
     rollup = TokenRollup(spark, scratch(spark, "token-rollup"))
-    rollup.commit("documents", changes(inserted=counted))
-    rollup.commit("documents", changes(inserted=counted))  # a replay, which finds the commit and does nothing
+    steps = [("arrived", changes(inserted=rough)), ("revised", changes(inserted=counted, deleted=rough)), ("gone", changes(deleted=empty)), ("back", changes(inserted=empty))]
+    for k, (name, signed) in enumerate(steps):
+        rollup.commit(name, signed)
+        rollup.commit(name, signed)  # a replay, which finds the commit and changes nothing
+        if k % 2:
+            rollup.fold()
     return rollup.totals()
 
 

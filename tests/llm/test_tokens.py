@@ -157,3 +157,34 @@ def test_rollup(spark, libraries):
     assert roll.batches() == ["b1", "b2", "b3"]
     with pytest.raises(ValueError):
         roll.commit("../x", changes(inserted=counted))
+    # folds change nothing, nor does a replay after them, nor an attempt that was lost or came second
+    before = sorted(map(str, roll.totals().collect()))
+    assert roll.fold() == 3 and roll.fold() == 0
+    roll.forget()
+    assert sorted(map(str, roll.totals().collect())) == before and roll.batches() == ["b1", "b2", "b3"]
+    assert not roll.commit("b1", changes(inserted=counted))
+    counted.withColumn("n_docs", F.lit(1)).select("source", "lang", "tokenizer", "n_docs", "n_tokens").write.parquet(f"{roll.path}/attempts/lost")
+    assert not roll._mark("bases/1", "lost")
+    roll.commit("b4", changes(inserted=zz))
+    later = TokenRollup(spark, roll.path)
+    assert later.fold() == 1 and later.batches() == ["b1", "b2", "b3", "b4"]
+    assert {r.lang: r.n_docs for r in roll.totals().collect()} == {k: n for k, (n, _) in want.items()}
+
+
+def test_rollup_query_reaches_the_plain_totals(spark, libraries, tmp_path):
+    """The query's totals, which come from signed batches, against counts of the library."""
+    import tiktoken
+
+    from metasieve.llm.queries import op3_token_rollup
+
+    df = docs(spark)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for r in df.collect():
+        n, k = want.get(r.lang, (0, 0))
+        want[r.lang] = (n + 1, k + len(library.encode_ordinary(r.text or "")))
+    assert {r.lang: (r.n_docs, r.n_tokens) for r in op3_token_rollup(spark, str(tmp_path)).collect()} == want
+    df.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert op3_token_rollup(spark, f"{tmp_path}/none").count() == 0
