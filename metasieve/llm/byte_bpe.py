@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from metasieve.llm.common import Ragged, bounded_batches, portions, split_spans, texts
 
 #: Spans and pre-tokens remembered by a worker before the older half is forgotten; longer ones are never remembered.
-CACHE, CACHE_CHARS = 400_000, 48
+CACHE, CACHE_CHARS = 200_000, 48
 #: Bytes of pre-tokens that are in the queue at once, but for a longer one.
 QUEUED = 1 << 14
 #: Patterns under which a space before a character that is no white space always starts a pre-token: fixed values.

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
 #: Characters of texts that are worked on together.
-PORTION = 4 << 20
+PORTION = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -13,10 +13,11 @@ Adaptive prefixes. Each set picks l from 1 to LONGEST by its estimated cost: the
 meets, and the sets that would share l of them. A pair is verified if it shares at least the smaller l of its two sets.
 
 No pair of a large group is made needlessly. Equal sets are one class. Rounds verify, for each prefix shingle, its sets
-against one central set (the one with the fewest shingles of its own), and join what links. Then only pairs of sets in
-different components are left to make, all of them; a pair inside a component could add nothing. Each is first held
-against parity bitmaps, a hundredth of the sets' size, which bound the difference of two sets from below; what they
-leave possible is verified on the whole sets.
+against one central set (the one with the fewest shingles of its own), and join what links; further rounds verify each
+set against the one that it looks most like, of another component. Then only pairs of sets in different components are
+left to make, all of them; a pair inside a component could add nothing. What a set looks like is told by parity bitmaps, a
+hundredth of the sets' size, which bound the difference of two sets from below; what they leave possible is verified on
+the whole sets.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ WORDS, PERCENT = 5, 80
 LONGEST = 4
 FIRST_LAYER = 2.2
 #: Rounds against central sets, at most; they end when the pairs left are no more than this many for each posting.
-ROUNDS, LEFT = 4, 32
+ROUNDS, LEFT = 4, 4
 #: Sets of a block of a list.
 BLOCK = 512
 #: Postings that a task packs at once; ranges of hashes that it is dealt; postings of a shingle that are counted.
@@ -130,9 +131,9 @@ def parity(s: np.ndarray, percent: int) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
-def may_link(a: list[np.ndarray], b: list[np.ndarray], n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the bitmaps of each pair of sets, of n and m shingles, leave it possible that they link."""
-    out = np.zeros(len(a), bool)
+def differing(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The number of bits in which the bitmaps of each pair differ: no more than the shingles in which their sets do."""
+    out = np.zeros(len(a), np.int64)
     shapes: dict[tuple[int, int], list[int]] = {}
     for k, (x, y) in enumerate(zip(a, b, strict=True)):
         shapes.setdefault((len(x), len(y)), []).append(k)
@@ -145,11 +146,15 @@ def may_link(a: list[np.ndarray], b: list[np.ndarray], n: np.ndarray, m: np.ndar
             else:
                 q //= 2
                 y = y[:, :q] ^ y[:, q:]
-        differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-        out[at] = differ * (100 + percent) <= (n[at] + m[at]) * (100 - percent)
+        out[at] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
     return out
 
 
+def may_link(a: list[np.ndarray], b: list[np.ndarray], n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the bitmaps of each pair of sets, of n and m shingles, leave it possible that they link."""
+    return differing(a, b) * (100 + percent) <= (n + m) * (100 - percent)
+
+
 def _hashed(text: Column) -> Column:
     """A 64-bit hash of a text; with the document's id it stands for a row."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -366,11 +371,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def _met(left: DataFrame, classes: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def _met(left: DataFrame, classes: DataFrame, percent: int, nearest: bool = False, block: int = BLOCK) -> DataFrame:
     """a, b, shared, needed: pairs of open lists (h, sig, n, l, comp) in different components that may link.
 
     A list is cut into blocks of about `block` sets, and each two of its blocks meet in a group of their own, so that no
     task holds a long list. Pairs are made there, in passing, and only those go on whose bitmaps leave a link possible.
+    With nearest, a and b alone: for each set the one that its bitmap is nearest to.
     """
     blocks = left.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
     rows = left.join(blocks, "h").join(classes.select("sig", "bits"), "sig").withColumn("at", F.pmod(F.xxhash64("sig", F.lit(block)), F.col("nb")).cast("int"))
@@ -382,6 +388,7 @@ def _met(left: DataFrame, classes: DataFrame, percent: int, block: int = BLOCK)
         bits = [np.frombuffer(x, np.uint64) for x in t.column(8).to_pylist()]
         change = np.r_[True, (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
         ends = np.r_[np.flatnonzero(change)[1:], len(h)][np.cumsum(change) - 1]
+        best, other = np.full(len(h), 2.0), np.zeros(len(h), np.int64)
         idx, d = np.arange(len(h)), 0
         while len(idx):
             d += 1
@@ -389,10 +396,18 @@ def _met(left: DataFrame, classes: DataFrame, percent: int, block: int = BLOCK)
             x, y = idx, idx + d
             ok = (comp[x] != comp[y]) & ((i[x] == j[x]) | (at[x] != at[y])) & (n[x] * 100 >= n[y] * percent) & (n[y] * 100 >= n[x] * percent)
             x, y = x[ok], y[ok]
-            keep = may_link([bits[k] for k in x], [bits[k] for k in y], n[x], n[y], percent)
-            x, y = x[keep], y[keep]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sig[x], sig[y])), pa.array(np.maximum(sig[x], sig[y])), pa.array(np.minimum(l[x], l[y]))], ["a", "b", "l"])
+            apart = differing([bits[k] for k in x], [bits[k] for k in y])
+            keep = apart * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
+            x, y, apart = x[keep], y[keep], apart[keep] / (n[x] + n[y])[keep]
+            if nearest:
+                for p, q in ((x, y), (y, x)):  # each is once in x and once in y
+                    less = apart < best[p]
+                    best[p[less]], other[p[less]] = apart[less], q[less]
+            elif len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sig[x], sig[y])), pa.array(np.maximum(sig[x], sig[y])), pa.array(np.minimum(l[x], l[y]).astype(float))], ["a", "b", "v"])
+        found = np.flatnonzero(best < 2)
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(sig[found]), pa.array(sig[other[found]]), pa.array(best[found])], ["a", "b", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -408,8 +423,11 @@ def _met(left: DataFrame, classes: DataFrame, percent: int, block: int = BLOCK)
             yield from made(pa.Table.from_batches(held))
 
     bounded_batches(left.sparkSession)
-    dealt = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(run, "a long, b long, l int")
-    return dealt.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("l").alias("needed"))
+    dealt = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(run, "a long, b long, v double")
+    if nearest:
+        dealt = dealt.groupBy("a").agg(F.min_by("b", F.struct("v", "b")).alias("b"))
+        return dealt.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return dealt.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("v").alias("needed"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -484,6 +502,13 @@ def class_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         rest, rows = size.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0)), F.coalesce(F.sum("s"), F.lit(0))).first()
         if rest <= LEFT * rows:
             break
+    for _ in range(ROUNDS):
+        # each set with the one that it looks most like, of other components
+        links = stored(_verified(_met(left, classes, percent, nearest=True), sets, percent), "edges")
+        if not links.limit(1).count():
+            break
+        labels = _joined(labels, links)
+        left = stored(_open_lists(_labelled(left.drop("comp"), labels)), "left")
     links = stored(_verified(_met(left, classes, percent).filter("shared >= needed"), sets, percent), "edges")
     if links.limit(1).count():
         labels = _joined(labels, links)

@@ -20,6 +20,7 @@ totals come back as one small row for each shard; `start` positions are sums ove
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 import struct
@@ -28,7 +29,7 @@ from array import array
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import filterfalse
+from itertools import filterfalse, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metasieve.llm.common import Ragged, blob, bounded_batches, portions, split_spans, texts
+from metasieve.llm.common import Ragged, blob, bounded_batches, split_spans, texts
 
 BLOCK_BYTES = 1 << 16
 BLOOM_BITS, BLOOM_PROBES = 10, 7
@@ -45,7 +46,7 @@ MAGIC = b"MSVSST01"
 FOOTER = struct.Struct("<QQQQQQ8s")
 INDEX = struct.Struct("<9sQQI")
 #: Spans, and pre-tokens, remembered by a worker before the older half is forgotten; longer ones are never remembered.
-CACHE_SPANS, CACHE_CHARS = 400_000, 48
+CACHE_SPANS, CACHE_CHARS = 300_000, 48
 #: Spans whose lower case and normal form are the same under every version of Unicode: ASCII and precomposed Latin letters.
 LATIN = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]*").fullmatch
 LETTERS = "a-z\u00df-\u00f6\u00f8-\u017e"
@@ -53,6 +54,17 @@ LETTERS = "a-z\u00df-\u00f6\u00f8-\u017e"
 PRE_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\x20\\x09-\\x0d{LETTERS}0-9]+").findall
 
 
+_LATIN_1 = bytes(range(128)) + bytes(b for b in range(0xC0, 0x100) if b not in (0xD7, 0xF7))
+
+
+def is_latin(text: str) -> bool:
+    """LATIN, by way of bytes where that can be."""
+    try:
+        return text.isascii() or not text.encode("latin-1").translate(None, _LATIN_1)
+    except UnicodeEncodeError:
+        return LATIN(text) is not None
+
+
 class SpanEncoder:
     """Ids of whole texts by the tokenizers library, with what repeats encoded once.
 
@@ -69,6 +81,12 @@ class SpanEncoder:
         self.added = [a.content for a in self.tokenizer.get_added_tokens_decoder().values()]
         #: whether a text holds an added token, in any letter case: such a text goes to the library whole
         self.marks = re.compile("|".join(map(re.escape, self.added)) or r"(?!)", re.IGNORECASE).search
+        start = os.path.commonprefix(self.added)
+        #: what each added token holds whatever its letter case
+        self.sign = start[: next((k for k, c in enumerate(start) if c.lower() != c.upper()), len(start))]
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or "\0"
+        #: whether an id ends a pre-token
+        self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith(suffix) for k in range(self.tokenizer.get_vocab_size())])
         probe = "Ab's  cd1 \nÉ2x, 'tis ..!a"
         if [i for p in PRE_TOKENS(probe.lower()) for i in self._call([p])[0]] != self._call([probe])[0].tolist():
             raise ValueError("the tokenizer splits text in another way")
@@ -78,6 +96,18 @@ class SpanEncoder:
     def _call(self, pieces: list[str]) -> list[array]:
         return [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _call_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of these pre-tokens, many in a text where their ends can be told."""
+        if not pieces:
+            return []
+        (e,) = self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)
+        ids = np.array(e.ids, np.uint32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(pieces) or stops[-1] != len(ids):
+            return [x.tobytes() for x in self._call(pieces)]
+        data = ids.tobytes()
+        return [data[4 * x : 4 * y] for x, y in pairwise([0, *stops.tolist()])]
+
     @staticmethod
     def _missing(wanted: Iterable[str], generations: list[dict[str, bytes]]) -> list[str]:
         """What neither generation has; what the old one has moves to the young one."""
@@ -102,10 +132,10 @@ class SpanEncoder:
     def encode_all(self, rows: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(rows)
-        marked = {k for k, t in enumerate(rows) if self.marks(t)}
+        marked = {k for k, t in enumerate(rows) if self.sign in t and self.marks(t)}
         for k, ids in zip(marked, self._call([rows[k] for k in marked]), strict=True):
             out[k] = ids.tobytes()
-        latin = {k for k, t in enumerate(rows) if k not in marked and (t.isascii() or LATIN(t))}
+        latin = {k for k, t in enumerate(rows) if k not in marked and is_latin(t)}
         # letter case may bear on the normal form of other letters
         for some, lower in ((sorted(latin), True), ([k for k in range(len(rows)) if k not in marked and k not in latin], False)):
             if some:
@@ -118,17 +148,21 @@ class SpanEncoder:
 
     def _spans(self, spans: list[str]) -> list[bytes]:
         """The ids of each of these different spans."""
-        got = [self.pieces[0].get(p) or self.spans[0].get(p) for p in spans]
+        known = self.spans[0].get
+        got = [known(p) if g is None else g for p, g in zip(spans, map(self.pieces[0].get, spans), strict=True)]
         missing = [p for p, g in zip(spans, got, strict=True) if g is None]
         plain = {p for p in missing if p.isascii() and p.islower() and p.isalpha()}
         new = self._missing([p for p in missing if p not in plain], self.spans)
         cut = {p: PRE_TOKENS(p.lower()) if LATIN(p) else None for p in new}
         new_pieces = self._missing(plain.union(*[parts for parts in cut.values() if parts]), self.pieces)
         whole, pieces = self.spans[0], self.pieces[0]
-        for where, todo in ((pieces, new_pieces), (whole, [p for p, parts in cut.items() if parts is None])):
-            for at in range(0, len(todo), 10_000):
-                some = todo[at : at + 10_000]
-                where.update(zip(some, [ids.tobytes() for ids in self._call(some)], strict=True))
+        for at in range(0, len(new_pieces), 1000):
+            some = new_pieces[at : at + 1000]
+            pieces.update(zip(some, self._call_pieces(some), strict=True))
+        others = [p for p, parts in cut.items() if parts is None]
+        for at in range(0, len(others), 10_000):
+            some = others[at : at + 10_000]
+            whole.update(zip(some, [ids.tobytes() for ids in self._call(some)], strict=True))
         for p, parts in cut.items():
             if parts is not None:
                 whole[p] = b"".join([pieces[q] for q in parts])
@@ -305,7 +339,7 @@ def write_sstables(docs: DataFrame, tokenizer_file: str, end_id: int, path: str,
         gc.disable()  # nothing here makes cycles
         for b in batches:
             ids = b.column(0).to_pylist()
-            coded = (x for part in portions(texts(b.column(1))) for x in encoder.encode_all(part))
+            coded = encoder.encode_all(texts(b.column(1)))
             for doc_id, value in zip(ids, coded, strict=True):
                 key = key_of(doc_id)
                 if writer is None:

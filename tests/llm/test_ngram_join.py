@@ -81,12 +81,13 @@ def test_few_counted_and_small_blocks(spark, monkeypatch):
     """Shingles that are not counted to the end, and lists cut into blocks of two, change no result."""
     counted, met = ngram_join._counted, ngram_join._met
     monkeypatch.setattr(ngram_join, "_counted", lambda m, p: counted(m, p, saturated=3))
-    monkeypatch.setattr(ngram_join, "_met", lambda a, b, p: met(a, b, p, block=2))
-    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "_met", lambda a, b, p, nearest=False: met(a, b, p, nearest, block=2))
     rows = corpus(4)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df, 3, 90).collect()), key=str)
-    assert got == brute(rows, 3, 90)
+    for rounds in (0, 1):
+        monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df, 3, 90).collect()), key=str)
+        assert got == brute(rows, 3, 90)
 
 
 def test_different_sets_with_one_half_hash(spark, monkeypatch):
