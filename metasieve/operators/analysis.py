@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metasieve.functions.effects import apart, effect_for, impute_sd
 from metasieve.operators.bias import egger, trim_and_fill
-from metasieve.operators.pooling import leave_one_out, random_effects
+from metasieve.operators.pooling import leave_one_out, random_effects, subgroup_effects
 from metasieve.operators.quality import anomaly_flags
 
 #: Studies from which a step is planned.
@@ -44,16 +44,28 @@ def data_profile(rows: DataFrame) -> DataFrame:
 
 
 def default_plan(profile: DataFrame) -> DataFrame:
-    """outcome, k, effect_type, method, apply_hksj, run_loo, run_egger, run_trim_and_fill."""
-    return profile.select("outcome", "k", F.when(F.col("has_continuous"), "SMD").otherwise("logOR").alias("effect_type"), F.when(F.col("k") >= REML_FROM, "REML").otherwise("DL").alias("method"), F.lit(True).alias("apply_hksj"), (F.col("k") >= LOO_FROM).alias("run_loo"), (F.col("k") >= BIAS_FROM).alias("run_egger"), (F.col("k") >= BIAS_FROM).alias("run_trim_and_fill"))
+    """outcome, k, effect_type, method, apply_hksj, subgroup_variables, run_loo, run_egger, run_trim_and_fill."""
+    return profile.select("outcome", "k", F.when(F.col("has_continuous"), "SMD").otherwise("logOR").alias("effect_type"), F.when(F.col("k") >= REML_FROM, "REML").otherwise("DL").alias("method"), F.lit(True).alias("apply_hksj"), F.col("subgroup_vars").alias("subgroup_variables"), (F.col("k") >= LOO_FROM).alias("run_loo"), (F.col("k") >= BIAS_FROM).alias("run_egger"), (F.col("k") >= BIAS_FROM).alias("run_trim_and_fill"))
 
 
 def planned_effects(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """outcome, ord, study_id, effect, se of the rows whose planned effect can be computed, by imputed arms."""
+    """outcome, ord, study_id, effect, se, method, apply_hksj (and subgroups, where rows have them) of the rows whose planned effect can be computed, by imputed arms."""
     arm = lambda a: {f: F.col(f"{a}.{f}") for f in ("n", "mean", "sd", "events", "total")}
-    joined = imputed(rows).join(plan.select("outcome", "effect_type"), "outcome")
+    joined = imputed(rows).join(plan.select("outcome", "effect_type", "method", "apply_hksj"), "outcome")
     e = apart(joined, "_e", effect_for(F.col("effect_type"), arm("arm1"), arm("arm2")))
-    return e.select("outcome", "ord", "study_id", F.col("_e.effect").alias("effect"), F.col("_e.se").alias("se"))
+    return e.select("outcome", "ord", "study_id", F.col("_e.effect").alias("effect"), F.col("_e.se").alias("se"), "method", "apply_hksj", *(["subgroups"] if "subgroups" in rows.columns else []))
+
+
+def planned_subgroups(effects: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pooled effects of the subgroups, tests between them) of planned effects, by outcome and variable.
+
+    A study without a label is in the subgroup "unknown"; variables with one label in an outcome have no rows.
+    """
+    asked = plan.select("outcome", F.explode("subgroup_variables").alias("variable"))
+    labelled = effects.join(asked, "outcome").withColumn("subgroup", F.coalesce(F.col("subgroups")[F.col("variable")], F.lit("unknown")))
+    over = Window.partitionBy("outcome", "variable")
+    several = labelled.withColumn("_lo", F.min("subgroup").over(over)).withColumn("_hi", F.max("subgroup").over(over)).filter("_lo <> _hi").drop("_lo", "_hi")
+    return subgroup_effects(several, ("outcome", "variable"), "subgroup", F.col("method"), F.col("apply_hksj"))
 
 
 def execute(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -61,13 +73,8 @@ def execute(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
     An outcome without usable rows has k 0 and an error. The steps run where they are planned, on groups that allow them.
     """
-    # read by every step below: kept in memory or on disk, as long as the session needs them
-    plan = plan.persist()
-    effects = planned_effects(rows, plan).persist()
-    by_method = [random_effects(effects.join(plan.filter((F.col("method") == m) & (F.col("apply_hksj") == h)).select("outcome"), "outcome", "left_semi"), ("outcome",), m, h) for m, h in (("REML", True), ("DL", True), ("REML", False), ("DL", False))]
-    pooled = by_method[0]
-    for p in by_method[1:]:
-        pooled = pooled.unionByName(p)
+    effects = planned_effects(rows, plan)
+    pooled = random_effects(effects, ("outcome",), F.col("method"), F.col("apply_hksj"))
     wanted = lambda flag: effects.join(plan.filter(flag).select("outcome"), "outcome", "left_semi")
     test = egger(wanted("run_egger")).select("outcome", F.col("p_value").alias("egger_p"), F.col("significant").alias("egger_sig"))
     fill = trim_and_fill(wanted("run_trim_and_fill")).select("outcome", "n_imputed", "adjusted_effect", F.col("direction_flipped").alias("taf_flip"))
@@ -76,12 +83,15 @@ def execute(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def analyze(rows: DataFrame, plan: DataFrame | None = None) -> dict[str, DataFrame]:
-    """profile, plan, results, leave_one_out and flags of extracted rows; all empty for empty input."""
+    """profile, plan, results, leave_one_out, flags, and subgroups with subgroup_tests where rows have subgroups; all empty for empty input."""
     profile = data_profile(rows)
     plan = default_plan(profile) if plan is None else plan
     results = execute(rows, plan)
-    loo = leave_one_out(planned_effects(rows, plan.filter("run_loo")))
-    return {"profile": profile, "plan": plan, "results": results, "leave_one_out": loo, "flags": anomaly_flags(results)}
+    loo = leave_one_out(planned_effects(rows, plan.filter("run_loo")), ("outcome",), F.col("method"), F.col("apply_hksj"))
+    out = {"profile": profile, "plan": plan, "results": results, "leave_one_out": loo, "flags": anomaly_flags(results)}
+    if "subgroups" in rows.columns and "subgroup_variables" in plan.columns:
+        out["subgroups"], out["subgroup_tests"] = planned_subgroups(planned_effects(rows, plan), plan)
+    return out
 
 
 #: Confidence below which an evidence span is reviewed.

@@ -35,15 +35,15 @@ def egger(effects: DataFrame, keys: Sequence[str] = ("outcome",)) -> DataFrame:
     return out.select(*keys, "k", "intercept", "slope", "se", "t", "p_value", (F.col("p_value") < 0.10).alias("significant"), "intercept_se", "t_corrected")
 
 
-def trim_and_fill(effects: DataFrame, keys: Sequence[str] = ("outcome",), hksj: bool = True) -> DataFrame:
-    """keys, k, n_imputed, k_total, original_effect, adjusted_effect, adjusted ci_lower, ci_upper, direction_flipped, warning.
+def trim_and_fill(effects: DataFrame, keys: Sequence[str] = ("outcome",), hksj: bool = False) -> DataFrame:
+    """keys, k, n_imputed, k_total, original_effect, original_ci_lower, original_ci_upper, adjusted_effect, adjusted ci_lower, ci_upper, direction_flipped, warning.
 
     One pass about the REML mean: the side with fewer effects is the suppressed one (ties: the left), k0 = max(0,
     k - 2 * its count), and the k0 most extreme effects of the other side are mirrored with their se. Equal distances are
-    taken in ord's order. Groups of fewer than three studies or with an se that is not positive have no row.
+    taken in ord's order. Intervals are normal ones unless hksj is set. Groups of fewer than three studies or with an se that is not positive have no row.
     """
     keys = list(keys)
-    fields = [("k", T.LongType()), ("n_imputed", T.LongType()), ("k_total", T.LongType()), ("original_effect", T.DoubleType()), ("adjusted_effect", T.DoubleType()), ("ci_lower", T.DoubleType()), ("ci_upper", T.DoubleType()), ("direction_flipped", T.BooleanType()), ("warning", T.StringType())]
+    fields = [("k", T.LongType()), ("n_imputed", T.LongType()), ("k_total", T.LongType()), ("original_effect", T.DoubleType()), ("original_ci_lower", T.DoubleType()), ("original_ci_upper", T.DoubleType()), ("adjusted_effect", T.DoubleType()), ("ci_lower", T.DoubleType()), ("ci_upper", T.DoubleType()), ("direction_flipped", T.BooleanType()), ("warning", T.StringType())]
     schema = T.StructType([effects.schema[k] for k in keys] + [T.StructField(n, t) for n, t in fields])
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -51,8 +51,9 @@ def trim_and_fill(effects: DataFrame, keys: Sequence[str] = ("outcome",), hksj:
         y, se = pdf["effect"].to_numpy(float), pdf["se"].to_numpy(float)
         key = [pdf[k].iloc[0] for k in keys]
         if len(y) < 3 or not (se > 0).all():
-            return pd.DataFrame([(*key, 0, 0, 0, 0.0, 0.0, 0.0, 0.0, False, "")], columns=schema.names).head(0)
-        mu = pool_vectors(y, se, "REML", False)["pooled_effect"]
+            return pd.DataFrame([(*key, 0, 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, False, "")], columns=schema.names).head(0)
+        original = pool_vectors(y, se, "REML", False)
+        mu = original["pooled_effect"]
         d = y - mu
         right, left = int((d > 0).sum()), int((d < 0).sum())
         suppressed_right = right < left
@@ -61,6 +62,6 @@ def trim_and_fill(effects: DataFrame, keys: Sequence[str] = ("outcome",), hksj:
         adjusted = pool_vectors(np.r_[y, 2 * mu - y[far]], np.r_[se, se[far]], "REML", hksj)
         flipped = bool((mu > 0) != (adjusted["pooled_effect"] > 0))
         warning = "the direction of the effect changes after trim-and-fill" if flipped else None
-        return pd.DataFrame([(*key, len(y), k0, len(y) + k0, mu, adjusted["pooled_effect"], adjusted["ci_lower"], adjusted["ci_upper"], flipped, warning)], columns=schema.names)
+        return pd.DataFrame([(*key, len(y), k0, len(y) + k0, mu, original["ci_lower"], original["ci_upper"], adjusted["pooled_effect"], adjusted["ci_lower"], adjusted["ci_upper"], flipped, warning)], columns=schema.names)
 
     return effects.select(*keys, "ord", "effect", "se").groupBy(*keys).applyInPandas(fill, schema)

@@ -9,6 +9,7 @@ an se that is not positive gets an error and no numbers.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -77,46 +78,49 @@ def reml(y: np.ndarray, v: np.ndarray) -> tuple[float, bool]:
         if abs(new - tau) <= 1e-13 * max(1.0, tau):
             return new, True
         tau = new
-    return tau, bool(np.isfinite(tau))
+    return tau, False
 
 
-def _with_tau(effects: DataFrame, keys: list[str], method: str) -> DataFrame:
-    """_with_fixed() with tau2 and tau2_method_used: REML, DL_fallback where that fails, DL, or none_k1."""
-    rows = effects.select(*keys, "ord", "effect", "se")
-    if method == "REML":
+def _with_tau(effects: DataFrame, keys: list[str], method: str | Column, hksj: bool | Column) -> DataFrame:
+    """_with_fixed() with _hksj, tau2 and tau2_method_used: REML, DL_fallback where that fails, DL, or none_k1."""
+    asked = F.lit(method) if isinstance(method, str) else method
+    rows = effects.select(*keys, "ord", "effect", "se", (F.lit(hksj) if isinstance(hksj, bool) else hksj).alias("_hksj"), asked.alias("_method"))
+    if not isinstance(method, str) or method == "REML":
         schema = T.StructType([*rows.schema.fields, T.StructField("tau2_reml", T.DoubleType())])
 
         def solve(pdf: pd.DataFrame) -> pd.DataFrame:
             se = pdf["se"].to_numpy(float)
-            tau, ok = reml(pdf["effect"].to_numpy(float), se * se) if len(pdf) > 1 and (se > 0).all() else (0.0, True)
+            tau, ok = reml(pdf["effect"].to_numpy(float), se * se) if len(pdf) > 1 and (se > 0).all() and pdf["_method"].iloc[0] == "REML" else (0.0, True)
             return pdf.assign(tau2_reml=tau if ok else np.nan)
 
         rows = rows.groupBy(*keys).applyInPandas(solve, schema)
+    else:
+        rows = rows.withColumn("tau2_reml", F.lit(None).cast("double"))
     rows = _with_fixed(rows, keys)
-    if method != "REML":
-        return rows.withColumn("tau2", F.col("tau2_dl")).withColumn("tau2_method_used", F.when(F.col("k") == 1, "none_k1").otherwise("DL"))
-    solved = F.nanvl("tau2_reml", F.lit(None).cast("double"))
-    used = F.when(F.col("k") == 1, "none_k1").when(solved.isNull(), "DL_fallback").otherwise("REML")
+    restricted = F.col("_method") == "REML"
+    solved = F.when(restricted, F.nanvl("tau2_reml", F.lit(None).cast("double")))
+    used = F.when(F.col("k") == 1, "none_k1").when(~restricted, "DL").when(solved.isNull(), "DL_fallback").otherwise("REML")
     return rows.withColumn("tau2", F.when(F.col("k") == 1, 0.0).otherwise(F.coalesce(solved, "tau2_dl"))).withColumn("tau2_method_used", used)
 
 
-def random_effects(effects: DataFrame, keys: Sequence[str] = ("outcome",), method: str = "REML", hksj: bool = True, with_weights: bool = True) -> DataFrame:
+def random_effects(effects: DataFrame, keys: Sequence[str] = ("outcome",), method: str | Column = "REML", hksj: bool | Column = True, with_weights: bool = True) -> DataFrame:
     """The pooled effect of each group: keys, k, pooled_effect, pooled_se, ci_lower, ci_upper, tau2, tau2_method_used, i2, q, q_p, pi_lower, pi_upper, weights (in ord's order), method_log, error.
 
     With hksj the se is the Knapp-Hartung one, without a floor, and limits use t(k - 1); else, and for one study, 1.96.
-    The prediction interval uses the unadjusted se.
+    The prediction interval uses the unadjusted se. method and hksj may be columns of effects, the same for all rows of a
+    group.
     """
     keys = list(keys)
     w = Window.partitionBy(*keys)
-    rows = _with_tau(effects, keys, method).withColumn("_w", F.when(F.col("se") > 0, 1 / (F.col("se") * F.col("se") + F.col("tau2"))))
+    rows = _with_tau(effects, keys, method, hksj).withColumn("_w", F.when(F.col("se") > 0, 1 / (F.col("se") * F.col("se") + F.col("tau2"))))
     rows = rows.withColumns({"_sw": F.sum("_w").over(w), "_swy": F.sum(F.col("_w") * F.col("effect")).over(w)}).withColumn("pooled_effect", F.col("_swy") / F.col("_sw"))
     square = (F.col("effect") - F.col("pooled_effect")) * (F.col("effect") - F.col("pooled_effect"))
-    sums = [F.first(c).alias(c) for c in ("k", "bad", "q", "tau2", "tau2_dl", "tau2_method_used", "pooled_effect", "_sw")] + [F.sum(F.col("_w") * square).alias("_r")]
+    sums = [F.first(c).alias(c) for c in ("k", "bad", "q", "tau2", "tau2_dl", "tau2_method_used", "pooled_effect", "_sw", "_hksj")] + [F.sum(F.col("_w") * square).alias("_r")]
     if with_weights:
         sums.append(F.sort_array(F.collect_list(F.struct("ord", (F.col("_w") / F.col("_sw")).alias("w")))).alias("_ws"))
     out = rows.groupBy(*keys).agg(*sums)
     se0 = F.sqrt(1 / F.col("_sw"))
-    adjusted = (F.col("k") > 1) & F.lit(hksj)
+    adjusted = (F.col("k") > 1) & F.col("_hksj")
     se = F.when(adjusted, se0 * F.sqrt(F.col("_r") / F.nullif(F.col("k") - 1, F.lit(0)))).otherwise(se0)
     half = F.when(adjusted, t_critical(F.col("k") - 1)).otherwise(F.lit(Z95)) * se
     pi = prediction_interval(F.col("pooled_effect"), F.col("tau2"), se0, F.col("k"))
@@ -128,7 +132,7 @@ def random_effects(effects: DataFrame, keys: Sequence[str] = ("outcome",), metho
     return out.select(*keys, "k", *(F.when(ok, c).alias(n) for n, c in numbers.items()), log.alias("method_log"), F.when(~ok, "standard errors must be > 0").alias("error"))
 
 
-def subgroup_effects(effects: DataFrame, keys: Sequence[str] = ("outcome",), subgroup: str = "subgroup", method: str = "REML", hksj: bool = True) -> tuple[DataFrame, DataFrame]:
+def subgroup_effects(effects: DataFrame, keys: Sequence[str] = ("outcome",), subgroup: str = "subgroup", method: str | Column = "REML", hksj: bool | Column = True) -> tuple[DataFrame, DataFrame]:
     """(the pooled effect of each subgroup, keys with n_subgroups, q_between, df, p_between).
 
     A study without a label is in the subgroup "unknown"; q_between weighs by the subgroups' own, adjusted, se.
@@ -146,22 +150,38 @@ def subgroup_effects(effects: DataFrame, keys: Sequence[str] = ("outcome",), sub
     return pooled, between.withColumn("p_between", F.when(F.col("df") > 0, chi2_sf_col("q_between", F.col("df").cast("double"))).otherwise(1.0))
 
 
-def leave_one_out(effects: DataFrame, keys: Sequence[str] = ("outcome",), method: str = "REML", hksj: bool = True) -> DataFrame:
+def _repeated(effects: DataFrame, keys: list[str], names: tuple[str, str], fields: dict[str, T.DataType], several: int, method: str | Column, hksj: bool | Column, chosen) -> DataFrame:
+    """For each study of a group, the group's studies that chosen(place) picks, pooled: one pass over a group in one task.
+
+    A group is the studies of one outcome. Its rows are pooled k times there, in memory of its size, and not joined with
+    each other. Groups of fewer than `several` studies have no rows; where an se is not positive the numbers are null.
+    """
+    rows = effects.select(*keys, "ord", "study_id", "effect", "se", (F.lit(method) if isinstance(method, str) else method).alias("_method"), (F.lit(hksj) if isinstance(hksj, bool) else hksj).alias("_hksj"))
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField(names[0], rows.schema["ord"].dataType), T.StructField(names[1], rows.schema["study_id"].dataType), *(T.StructField(n, t) for n, t in fields.items())])
+
+    def pool(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord", kind="stable")
+        y, se, n = pdf["effect"].to_numpy(float), pdf["se"].to_numpy(float), len(pdf)
+        out = []
+        for k in range(n if n >= several else 0):
+            at = chosen(n, k)
+            got = pool_vectors(y[at], se[at], pdf["_method"].iloc[0], bool(pdf["_hksj"].iloc[0])) if (se[at] > 0).all() else {"k": len(at)}
+            out.append((*(pdf[c].iloc[0] for c in keys), pdf["ord"].iloc[k], pdf["study_id"].iloc[k], *(got.get(f) for f in fields)))
+        return pd.DataFrame(out, columns=schema.names)
+
+    return rows.groupBy(*keys).applyInPandas(pool, schema)
+
+
+def leave_one_out(effects: DataFrame, keys: Sequence[str] = ("outcome",), method: str | Column = "REML", hksj: bool | Column = True) -> DataFrame:
     """keys, omitted_index, omitted and the pooled result of the other studies, for groups of two studies or more."""
-    keys = list(keys)
-    each = effects.select(*keys, F.col("ord").alias("omitted_index"), F.col("study_id").alias("omitted"))
-    rest = effects.join(each, keys).filter(F.col("ord") != F.col("omitted_index"))
-    pooled = random_effects(rest, [*keys, "omitted_index", "omitted"], method, hksj, with_weights=False)
-    return pooled.select(*keys, "omitted_index", "omitted", "pooled_effect", "ci_lower", "ci_upper", "i2", "tau2")
+    fields = {f: T.DoubleType() for f in ("pooled_effect", "ci_lower", "ci_upper", "i2", "tau2")}
+    return _repeated(effects, list(keys), ("omitted_index", "omitted"), fields, 2, method, hksj, lambda n, k: np.delete(np.arange(n), k))
 
 
-def cumulative(effects: DataFrame, keys: Sequence[str] = ("outcome",), method: str = "REML", hksj: bool = True) -> DataFrame:
+def cumulative(effects: DataFrame, keys: Sequence[str] = ("outcome",), method: str | Column = "REML", hksj: bool | Column = True) -> DataFrame:
     """keys, added_index, added, k and the pooled result of the studies up to each one in ord's order."""
-    keys = list(keys)
-    each = effects.select(*keys, F.col("ord").alias("added_index"), F.col("study_id").alias("added"))
-    so_far = effects.join(each, keys).filter(F.col("ord") <= F.col("added_index"))
-    pooled = random_effects(so_far, [*keys, "added_index", "added"], method, hksj, with_weights=False)
-    return pooled.select(*keys, "added_index", "added", "k", "pooled_effect", "ci_lower", "ci_upper", "i2")
+    fields = {"k": T.LongType()} | {f: T.DoubleType() for f in ("pooled_effect", "ci_lower", "ci_upper", "i2")}
+    return _repeated(effects, list(keys), ("added_index", "added"), fields, 1, method, hksj, lambda n, k: np.arange(k + 1))
 
 
 def pool_vectors(y: np.ndarray, se: np.ndarray, method: str = "REML", hksj: bool = True) -> dict:
@@ -178,5 +198,11 @@ def pool_vectors(y: np.ndarray, se: np.ndarray, method: str = "REML", hksj: bool
     pooled, se0 = (w * y).sum() / w.sum(), (1 / w.sum()) ** 0.5
     adjusted = hksj and k > 1
     s = se0 * ((w * (y - pooled) ** 2).sum() / (k - 1)) ** 0.5 if adjusted else se0
-    half = (t_ppf(0.975, k - 1) if adjusted else Z95) * s
-    return {"pooled_effect": pooled, "pooled_se": s, "ci_lower": pooled - half, "ci_upper": pooled + half, "tau2": tau2}
+    half = (_t95(k - 1) if adjusted else Z95) * s
+    df = max(k - 1, 1)
+    return {"k": k, "pooled_effect": pooled, "pooled_se": s, "ci_lower": pooled - half, "ci_upper": pooled + half, "tau2": tau2, "i2": max(0.0, (q - df) / q * 100) if q > 0 else 0.0}
+
+
+@lru_cache(maxsize=1000)
+def _t95(df: int) -> float:
+    return t_ppf(0.975, df)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 #: Confidence from which two exclusions need no arbiter, and below which an arbiter's decision goes to a person.
 SURE, ARBITER_SURE = 80, 60
@@ -20,12 +22,13 @@ def dedup_by_title(studies: DataFrame, order: str = "ord") -> DataFrame:
     """The first study of each title, compared without case and outer white space; all studies without a title stay.
 
     The first of each title is found by an aggregate with partial sums, so a title that many rows share is not sorted on
-    one task.
+    one task. Of several rows with one title and place in the order, the one with the smallest hash stays.
     """
-    keyed = studies.withColumn("_key", F.lower(strip(F.coalesce("title", F.lit("")))))
-    first = keyed.filter("_key <> ''").groupBy("_key").agg(F.min(order).alias("_first"))
-    joined = keyed.join(first, "_key", "left")
-    return joined.filter((F.col("_key") == "") | (F.col(order) == F.col("_first"))).drop("_key", "_first")
+    key, place, first = (f"__{name}_{uuid.uuid4().hex}" for name in ("key", "place", "first"))
+    keyed = studies.withColumn(key, F.lower(strip(F.coalesce("title", F.lit(""))))).withColumn(place, F.struct(F.col(order), F.xxhash64(*(F.col(f"`{c}`") for c in studies.columns if not isinstance(studies.schema[c].dataType, MapType)))))
+    firsts = keyed.filter(F.col(key) != "").groupBy(key).agg(F.min(place).alias(first))
+    joined = keyed.join(firsts, key, "left")
+    return joined.filter((F.col(key) == "") | (F.col(place) == F.col(first))).select(*(F.col(f"`{c}`") for c in studies.columns))
 
 
 def prescreen(studies: DataFrame, exclusion: Sequence[str] = (), required: Sequence[str] = ()) -> DataFrame:
@@ -54,22 +57,27 @@ def _clamped(confidence: Column, missing: int) -> Column:
 
 
 def valid_vote(decision: Column, confidence: Column) -> Column:
-    """decision, confidence of a screener: an unknown decision becomes include with 20 points less."""
-    d, c = F.lower(F.trim(decision)), _clamped(confidence, 50)
+    """decision, confidence of a screener: an unknown decision becomes include with 20 points less.
+
+    The points go before the confidence is bounded, and a missing one counts 0 there, 50 elsewhere.
+    """
+    d = F.lower(strip(decision))
     ok = F.coalesce(d.isin("include", "exclude"), F.lit(False))
-    return F.struct(F.when(ok, d).otherwise("include").alias("decision"), F.when(ok, c).otherwise(F.greatest(F.lit(0), c - 20)).alias("confidence"))
+    less = _clamped(F.coalesce(confidence.cast("double"), F.lit(0.0)) - 20, 0)
+    return F.struct(F.when(ok, d).otherwise("include").alias("decision"), F.when(ok, _clamped(confidence, 50)).otherwise(less).alias("confidence"))
 
 
 def valid_arbitration(decision: Column, confidence: Column) -> Column:
-    """decision, confidence of an arbiter: low confidence, and then an unknown decision (with 0), go to human_review."""
-    d, c = F.lower(F.trim(decision)), _clamped(confidence, 50)
+    """decision, confidence of an arbiter: low confidence goes to human_review as it is, an unknown decision after it with 0."""
+    d, c = F.lower(strip(decision)), _clamped(confidence, 50)
     known = F.coalesce(d.isin("include", "exclude", "human_review"), F.lit(False))
-    return F.struct(F.when(~known | (c < ARBITER_SURE), "human_review").otherwise(d).alias("decision"), F.when(known, c).otherwise(0).alias("confidence"))
+    low = c < ARBITER_SURE
+    return F.struct(F.when(low | ~known, "human_review").otherwise(d).alias("decision"), F.when(low | known, c).otherwise(0).alias("confidence"))
 
 
 def valid_fulltext(decision: Column, confidence: Column) -> Column:
     """decision, confidence of a full-text vote: an unknown decision becomes include with 0."""
-    d, c = F.lower(F.trim(decision)), _clamped(confidence, 50)
+    d, c = F.lower(strip(decision)), _clamped(confidence, 50)
     ok = F.coalesce(d.isin("include", "exclude"), F.lit(False))
     return F.struct(F.when(ok, d).otherwise("include").alias("decision"), F.when(ok, c).otherwise(0).alias("confidence"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TAG = "[CITATION NEEDED]"
@@ -54,10 +54,8 @@ def magnitude(effect: Column) -> Column:
 
 def forest_rows(effects: DataFrame, pooled: DataFrame) -> DataFrame:
     """outcome, y, label, effect, lo, hi, kind: the studies from the top down, the pooled effect at -1."""
-    counted = effects.join(pooled.select("outcome", "k"), "outcome")
-    place = effects.select("outcome", F.col("ord").alias("_o"))
-    rank = counted.join(place, "outcome").groupBy("outcome", "k", "ord", "study_id", "effect", "se").agg(F.count_if(F.col("_o") < F.col("ord")).alias("_i"))
-    studies = rank.select("outcome", (F.col("k") - 1 - F.col("_i")).cast("long").alias("y"), F.col("study_id").alias("label"), "effect", (F.col("effect") - 1.96 * F.col("se")).alias("lo"), (F.col("effect") + 1.96 * F.col("se")).alias("hi"), F.lit("study").alias("kind"))
+    rank = effects.join(pooled.select("outcome", "k"), "outcome").withColumn("_i", F.row_number().over(Window.partitionBy("outcome").orderBy("ord")))
+    studies = rank.select("outcome", (F.col("k") - F.col("_i")).cast("long").alias("y"), F.col("study_id").alias("label"), "effect", (F.col("effect") - 1.96 * F.col("se")).alias("lo"), (F.col("effect") + 1.96 * F.col("se")).alias("hi"), F.lit("study").alias("kind"))
     return studies.unionByName(pooled.select("outcome", F.lit(-1).cast("long").alias("y"), F.lit("Pooled").alias("label"), F.col("pooled_effect").alias("effect"), F.col("ci_lower").alias("lo"), F.col("ci_upper").alias("hi"), F.lit("pooled").alias("kind")))
 
 

@@ -256,9 +256,10 @@ def data_profile(spark, sf_dir):
     return p.select("outcome", "k", "has_binary", "has_continuous", F.size(F.array_distinct("study_ids")).cast("long").alias("n_studies"))
 
 
-@query(f"{_PROFILE} SELECT outcome, k, CASE WHEN has_continuous THEN 'SMD' ELSE 'logOR' END AS effect_type, CASE WHEN k >= 3 THEN 'REML' ELSE 'DL' END AS method, true AS apply_hksj, k >= 3 AS run_loo, k >= 10 AS run_egger, k >= 10 AS run_trim_and_fill FROM p")
+@query(f"{_PROFILE} SELECT outcome, k, CASE WHEN has_continuous THEN 'SMD' ELSE 'logOR' END AS effect_type, CASE WHEN k >= 3 THEN 'REML' ELSE 'DL' END AS method, true AS apply_hksj, 'subgroup_region' AS subgroup_variables, k >= 3 AS run_loo, k >= 10 AS run_egger, k >= 10 AS run_trim_and_fill FROM p")
 def default_plan(spark, sf_dir):
-    return analysis.default_plan(analysis.data_profile(extraction_rows(spark, sf_dir)))
+    plan = analysis.default_plan(analysis.data_profile(extraction_rows(spark, sf_dir)))
+    return plan.withColumn("subgroup_variables", F.array_join("subgroup_variables", ","))
 
 
 @query("SELECT event_id FROM events WHERE event_id % 10 = 0 OR value < 70")
@@ -381,6 +382,22 @@ s AS (SELECT study_id, d1, c1, d2, c2, needed,
 """
 
 
+_RAW_VOTE = "CASE o_orderkey % 6 WHEN 0 THEN concat('include', {n}) WHEN 1 THEN ' EXCLUDE ' WHEN 2 THEN 'maybe' WHEN 3 THEN concat({t}, 'human_review') WHEN 4 THEN '' END AS d, CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 130 WHEN 2 THEN -5 WHEN 3 THEN 30 WHEN 4 THEN 59 ELSE 60 + o_orderkey % 41 END AS c"
+
+
+@query(f"""WITH v AS (SELECT o_orderkey, {_RAW_VOTE.format(n="chr(10)", t="chr(9)")} FROM orders),
+w AS (SELECT *, coalesce(regexp_replace(regexp_replace(lower(d), '^\\s+', ''), '\\s+$', ''), '') AS x, greatest(0, least(100, coalesce(c, 50))) AS k FROM v)
+SELECT o_orderkey, CASE WHEN x IN ('include', 'exclude') THEN x ELSE 'include' END AS vote, CASE WHEN x IN ('include', 'exclude') THEN k ELSE greatest(0, least(100, coalesce(c, 0) - 20)) END AS vote_confidence,
+  CASE WHEN k < 60 OR x NOT IN ('include', 'exclude', 'human_review') THEN 'human_review' ELSE x END AS arbiter, CASE WHEN k < 60 OR x IN ('include', 'exclude', 'human_review') THEN k ELSE 0 END AS arbiter_confidence,
+  CASE WHEN x IN ('include', 'exclude') THEN x ELSE 'include' END AS fulltext, CASE WHEN x IN ('include', 'exclude') THEN k ELSE 0 END AS fulltext_confidence FROM w""")
+def vote_validation(spark, sf_dir):
+    """Unknown, empty and missing decisions with outer white space, and confidences that are missing or out of bounds."""
+    v = table(spark, sf_dir, "orders").selectExpr("o_orderkey", *_RAW_VOTE.format(n="'\n'", t="'\t'").replace("AS d, ", "AS d|").split("|"))
+    d, c = F.col("d"), F.col("c")
+    kinds = (("vote", screening.valid_vote), ("arbiter", screening.valid_arbitration), ("fulltext", screening.valid_fulltext))
+    return v.select("o_orderkey", *(x for n, f in kinds for x in (f(d, c)["decision"].alias(n), f(d, c)["confidence"].alias(f"{n}_confidence"))))
+
+
 @query(f"{_VOTES_SQL} SELECT study_id, needed FROM s")
 def needs_arbiter(spark, sf_dir):
     return screening.screen(*votes(spark, sf_dir)).select("study_id", "needed")
@@ -440,7 +457,9 @@ def pico_drift(spark, sf_dir):
     return rounded(d.select("doc_id", "d.overlap_ratio"), "overlap_ratio")
 
 
-_WRAP = "concat('Intro ', substring(text, 1, 300), '\\nMethods\\n', substring(text, 301, 300), '\\nResults: ', substring(text, 601, 200), '\\nDiscussion\\n', substring(text, 801, 100))"
+#: A text cut in three, with the headings of an article between the parts.
+_THIRD = "CAST(floor(length(coalesce(text, '')) / 3.0) AS INT)"
+_WRAP = f"concat('Intro\\nMethods\\n', substring(coalesce(text, ''), 1, {_THIRD}), '\\nResults: ', substring(coalesce(text, ''), {_THIRD} + 1, {_THIRD}), '\\nDiscussion\\n', substring(coalesce(text, ''), 2 * {_THIRD} + 1, length(coalesce(text, ''))))"
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(regexp_extract(x, '(?is)(methods?\\b.*?)\\n\\s*(?:results?|discussion|references)\\b', 1), '\\s+$', ''), '^\\s+', '') || chr(10) || chr(10) || '---' || chr(10) || chr(10) || regexp_replace(regexp_replace(regexp_extract(x, '(?is)(results?\\b.*?)\\n\\s*(?:discussion|conclusion|references)\\b', 1), '\\s+$', ''), '^\\s+', '') AS sections FROM (SELECT doc_id, " + _WRAP.replace("\\n", "' || chr(10) || '") + " AS x FROM documents)")
@@ -515,7 +534,7 @@ def cosine_pairs(spark, sf_dir):
 @query()
 def upgma(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("label", F.concat(F.lit("outcome "), F.col("vec_id")).alias("name"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
-    return harmonize.cluster_by_vector(v, "label", 0.9)
+    return harmonize.cluster_by_vector(v, "label").drop("position")
 
 
 # ---- cost ------------------------------------------------------------------------------------------------------------
@@ -567,14 +586,17 @@ def json_parse_default(spark, sf_dir):
 _CLAIMS = [("'zzzz'", "CONTRADICTED", "'x'"), ("substring(text, 1, 5)", "CONTRADICTED", "'ten'"), ("substring(text, 21, 6)", "UNSUPPORTED", "NULL"), ("substring(text, 31, 6)", "UNSUPPORTED", "NULL")]
 
 
-@query("""WITH a AS (SELECT doc_id, text, replace(text, text[1:5], 'ten') AS t, text[21:26] AS c, text[31:36] AS d FROM documents WHERE length(text) >= 60),
-b AS (SELECT *, CASE WHEN contains(t, c) THEN replace(t, c, c || ' [CITATION NEEDED]') ELSE t END AS u FROM a)
-SELECT doc_id, CASE WHEN contains(u, d) AND NOT contains(u, '[CITATION NEEDED]') THEN replace(u, d, d || ' [CITATION NEEDED]') ELSE u END AS revised_text, 0 AS n_supported, 2 AS n_contradicted, 2 AS n_unsupported FROM b""")
+@query("""WITH r AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+a AS (SELECT doc_id, text, CASE WHEN text <> '' THEN replace(text, text[1:5], 'ten') ELSE text END AS t, text[21:26] AS c, text[31:36] AS d, text <> '' AND NOT starts_with(text, '[') AS ok FROM r),
+b AS (SELECT *, CASE WHEN c <> '' AND contains(t, c) AND NOT contains(t, '[CITATION NEEDED]') THEN replace(t, c, c || ' [CITATION NEEDED]') ELSE t END AS u FROM a)
+SELECT doc_id, CASE WHEN NOT ok THEN text WHEN d <> '' AND contains(u, d) AND NOT contains(u, '[CITATION NEEDED]') THEN replace(u, d, d || ' [CITATION NEEDED]') ELSE u END AS revised_text,
+  0 AS n_supported, CASE WHEN ok THEN 2 ELSE 0 END AS n_contradicted, CASE WHEN ok THEN (c <> '')::INT + (d <> '')::INT ELSE 0 END AS n_unsupported FROM b""")
 def factcheck_fold(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.length("text") >= 60)
+    """Claims on the places of each text that are not empty."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     claims = None
     for i, (t, v, c) in enumerate(_CLAIMS):
-        one = docs.selectExpr("doc_id AS section", f"{i} AS claim_idx", f"{t} AS text", f"'{v}' AS verdict", f"CAST({c} AS STRING) AS corrected_text")
+        one = docs.selectExpr("doc_id AS section", f"{i} AS claim_idx", f"{t} AS text", f"'{v}' AS verdict", f"CAST({c} AS STRING) AS corrected_text").filter("text <> ''")
         claims = one if claims is None else claims.unionByName(one)
     revised = writing.revise_sections(docs.select(F.col("doc_id").alias("section"), "text"), claims)
     return revised.select(F.col("section").alias("doc_id"), "revised_text", "n_supported", "n_contradicted", "n_unsupported")
