@@ -41,7 +41,9 @@ WORDS, PERCENT = 5, 80
 LONGEST = 4
 FIRST_LAYER = 2.2
 #: Rounds against central sets, at most; they end when the pairs left are no more than this many for each posting.
-ROUNDS, LEFT = 4, 4
+ROUNDS, LEFT = 4, 32
+#: Rounds against nearest sets, at most.
+NEAREST_ROUNDS = 2
 #: Sets of a block of a list.
 BLOCK = 512
 #: Postings that a task packs at once; ranges of hashes that it is dealt; postings of a shingle that are counted.
@@ -502,7 +504,7 @@ def class_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         rest, rows = size.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0)), F.coalesce(F.sum("s"), F.lit(0))).first()
         if rest <= LEFT * rows:
             break
-    for _ in range(ROUNDS):
+    for _ in range(NEAREST_ROUNDS):
         # each set with the one that it looks most like, of other components
         links = stored(_verified(_met(left, classes, percent, nearest=True), sets, percent), "edges")
         if not links.limit(1).count():

@@ -86,6 +86,7 @@ def test_few_counted_and_small_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for rounds in (0, 1):
         monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+        monkeypatch.setattr(ngram_join, "NEAREST_ROUNDS", rounds)
         got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df, 3, 90).collect()), key=str)
         assert got == brute(rows, 3, 90)
 
