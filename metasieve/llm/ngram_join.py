@@ -16,7 +16,7 @@ No pair of a large group is made needlessly. Equal sets are one class. Rounds ve
 against one central set (the one with the fewest shingles of its own), and join what links; further rounds verify each
 set against the one that it looks most like, of another component. Then only pairs of sets in different components are
 left to make, all of them; a pair inside a component could add nothing. What a set looks like is told by parity bitmaps, a
-hundredth of the sets' size, which bound the difference of two sets from below; what they leave possible is verified on
+few hundredths of the sets' size, which bound the difference of two sets from below; what they leave possible is verified on
 the whole sets.
 """
 
@@ -124,11 +124,11 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def parity(s: np.ndarray, percent: int) -> np.ndarray:
     """A set's parity bitmap in 64-bit words: for each class of hashes, whether the set has an odd number there.
 
-    Two bitmaps differ in no more bits than their sets differ in shingles. There are eight bits or more for each shingle
+    Two bitmaps differ in no more bits than their sets differ in shingles. There are sixteen bits or more for each shingle
     by which sets of this size may differ and still link, so most pairs that do not link show it here.
     """
     apart = 2 * len(s) * (100 - percent) // (100 + percent)
-    bits = max(256, 1 << (8 * apart).bit_length())
+    bits = max(1024, 1 << (16 * apart).bit_length())
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
