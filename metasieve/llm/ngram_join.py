@@ -41,9 +41,9 @@ WORDS, PERCENT = 5, 80
 LONGEST = 4
 FIRST_LAYER = 2.2
 #: Rounds against central sets, at most; they end when the pairs left are no more than this many for each posting.
-ROUNDS, LEFT = 2, 32
+ROUNDS, LEFT = 1, 32
 #: Rounds against nearest sets, at most.
-NEAREST_ROUNDS = 1
+NEAREST_ROUNDS = 2
 #: Sets of a block of a list.
 BLOCK = 512
 #: Postings that a task packs at once; ranges of hashes that it is dealt; postings of a shingle that are counted.
