@@ -16,6 +16,7 @@ from metasieve.llm.line_dedup import dedup_lines
 from metasieve.llm.ngram_join import jaccard_components
 from metasieve.llm.quality_knn import fit_quality, score_quality
 from metasieve.llm.sstable import read_sstables, write_sstables
+from metasieve.llm.superminhash import near_components
 from metasieve.llm.token_rollup import TokenRollup, changes, count_tokens
 from metasieve.llm.toxicity_kn import fit_toxicity, score_toxicity
 from metasieve.llm.url_filter import RULES, SOFT, SOFT_LIMIT, STRICT, filter_urls
@@ -89,6 +90,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sstable_output": op2_sstable_output,
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_kn": op8_toxicity_kn,
     "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_superminhash": op11_superminhash,
 }
 
 _WS = r"[\x20\x09-\x0D]+"
