@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metasieve.llm.byte_bpe import round_trips
+from metasieve.llm.collocations import mine_phrases
 from metasieve.llm.common import scratch, stored
 from metasieve.llm.decontam import find_leaks
 from metasieve.llm.exact_dedup import exact_dedup
@@ -94,6 +95,10 @@ def op11_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sstable_output": op2_sstable_output,
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_superminhash": op11_superminhash,
+    "op12_collocations": op12_collocations,
 }
 
 _WS = r"[\x20\x09-\x0D]+"
@@ -128,6 +134,29 @@ g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t
 SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g ON n.t = g.t
 """
 
+COLLOCATIONS_SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS rn, coalesce(lang, 'und') AS lang, regexp_split_to_array({_AZ.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT rn, lang, unnest(ps) AS piece, generate_subscripts(ps, 1) AS pn FROM t),
+q AS (SELECT rn, lang, pn, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda s: s <> '') AS ws FROM p),
+w AS (SELECT rn, lang, pn, unnest(ws) AS w1, generate_subscripts(ws, 1) AS i FROM q),
+g AS (SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY rn, pn ORDER BY i)),
+f1 AS (SELECT lang, w1, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*)::HUGEINT AS f FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, count(*)::HUGEINT AS f FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+c2 AS (SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, x.f AS l, y.f AS r, 1 AS k FROM f2 JOIN f1 x USING (lang, w1) JOIN f1 y ON y.lang = f2.lang AND y.w1 = f2.w2
+       WHERE NOT EXISTS (FROM f3 WHERE f3.lang = f2.lang AND f3.w1 = f2.w1 AND f3.w2 = f2.w2 AND 100 * f3.f >= 50 * f2.f)
+         AND NOT EXISTS (FROM f3 WHERE f3.lang = f2.lang AND f3.w2 = f2.w1 AND f3.w3 = f2.w2 AND 100 * f3.f >= 50 * f2.f)),
+c3 AS (SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3 AS phrase, f3.f AS a, x.f AS x1, y.f AS y2, u.f AS u2, v.f AS v1
+       FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.w1 = f3.w1 JOIN f2 y ON y.lang = f3.lang AND y.w1 = f3.w2 AND y.w2 = f3.w3
+       JOIN f2 u ON u.lang = f3.lang AND u.w1 = f3.w1 AND u.w2 = f3.w2 JOIN f1 v ON v.lang = f3.lang AND v.w1 = f3.w3),
+c AS (SELECT lang, phrase, a, l, r, k FROM c2 UNION ALL SELECT lang, phrase, a, x1, y2, 1 FROM c3 UNION ALL SELECT lang, phrase, a, u2, v1, 2 FROM c3),
+s AS (SELECT *, 1000000 * a * a // (l * r) AS score FROM c),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM s),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE cut = 1)
+SELECT z.lang, z.rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, m.n, score::BIGINT AS score
+FROM z JOIN (SELECT lang, count(*) AS n FROM g GROUP BY lang) m USING (lang) WHERE z.rank <= 2000
+"""
+
 
 def _url_filter_sql() -> str:
     def any_of(terms) -> str:
@@ -152,4 +181,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": LINE_DEDUP_SQL,
     "op9_url_filter": _url_filter_sql(),
     "op10_exact_dedup": EXACT_DEDUP_SQL,
+    "op12_collocations": COLLOCATIONS_SQL,
 }
