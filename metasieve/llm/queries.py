@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from metasieve.llm.byte_bpe import round_trips
 from metasieve.llm.collocations import mine_phrases
 from metasieve.llm.common import scratch, stored
+from metasieve.llm.conversation_repair import repair_conversations
 from metasieve.llm.decontam import find_leaks
 from metasieve.llm.exact_dedup import exact_dedup
 from metasieve.llm.line_dedup import dedup_lines
@@ -99,6 +100,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(_table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sstable_output": op2_sstable_output,
@@ -112,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_superminhash": op11_superminhash,
     "op12_collocations": op12_collocations,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _WS = r"[\x20\x09-\x0D]+"
