@@ -263,6 +263,9 @@ def mine_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, su
         'score', (CAST(1000000 AS DECIMAL(7, 0)) * ({product.format("f", "f")})) DIV ({product.format("l", "element_at(lasts, size(lasts) - i)")}),
         'i', i, 'l', l, 'r', element_at(lasts, size(lasts) - i)))"""
     scored = found.select("lang", "phrase", F.col("f").alias("a"), F.array_min(F.expr(cuts)).alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = scored.withColumn("rank", rank).filter(F.col("rank") <= top).join(totals, "lang")
+    # the best of each part of a language first: one task ranks no more than `top` of each part
+    parts = F.pmod(F.xxhash64("phrase"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    some = scored.withColumn("part", parts).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= top)
+    best = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top).join(totals, "lang")
     return best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
