@@ -370,10 +370,10 @@ def votes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 _VOTES_SQL = """WITH v AS (SELECT doc_id AS study_id,
   CASE WHEN doc_id % 17 = 0 THEN 'include' WHEN quality = 1 AND doc_id % 3 = 0 THEN 'include' ELSE 'exclude' END AS d1,
-  CASE WHEN doc_id % 17 = 0 THEN greatest(0, least(100, (doc_id * 37) % 121) - 20) ELSE least(100, (doc_id * 37) % 121) END AS c1,
+  CASE WHEN doc_id % 17 = 0 THEN greatest(0, least(100, (doc_id * 37) % 121 - 20)) ELSE least(100, (doc_id * 37) % 121) END AS c1,
   CASE WHEN toxic = 1 OR doc_id % 5 = 0 THEN 'include' ELSE 'exclude' END AS d2, (doc_id * 53) % 101 AS c2,
   CASE WHEN doc_id % 4 <> 0 THEN CASE WHEN doc_id % 3 = 2 OR (doc_id * 29) % 101 < 60 THEN 'human_review' WHEN doc_id % 3 = 0 THEN 'include' ELSE 'exclude' END END AS da,
-  CASE WHEN doc_id % 3 = 2 THEN 0 ELSE (doc_id * 29) % 101 END AS ca FROM labels),
+  CASE WHEN doc_id % 3 = 2 AND (doc_id * 29) % 101 >= 60 THEN 0 ELSE (doc_id * 29) % 101 END AS ca FROM labels),
 n AS (SELECT *, NOT (d1 = 'include' OR d2 = 'include' OR (c1 >= 80 AND c2 >= 80)) AS needed FROM v),
 s AS (SELECT study_id, d1, c1, d2, c2, needed,
   CASE WHEN d1 = 'include' OR d2 = 'include' THEN 'include' WHEN NOT needed THEN 'exclude' ELSE coalesce(da, 'human_review') END AS final_decision,
