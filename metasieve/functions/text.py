@@ -165,3 +165,25 @@ def contains_any(text: Column, words: Sequence[str]) -> Column:
     for w in words:
         found = found | F.contains(text, F.lit(w))
     return found
+
+
+def answer(response: Column) -> Column:
+    """A model's answer as a VARIANT: without its fence, null where it is no JSON."""
+    return F.try_parse_json(strip_fences(response))
+
+
+def as_object(value: Column) -> Column:
+    """A VARIANT that is an object; null for any other."""
+    return F.when(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), value)
+
+
+def items(value: Column, *keys: str) -> Column:
+    """The items of an answer (VARIANT) as an array of JSON texts, whatever its shape.
+
+    A list is its items. An object gives the list under the first of keys that it has, one item if no list is there, itself
+    if it has none of the keys; anything else is one item. Null for no answer and for a key that holds null.
+    """
+    listed = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    named = F.coalesce(*(F.try_variant_get(as_object(value), f"$.{k}", "variant") for k in keys), F.lit(None).cast("variant"))
+    inner = F.when(named.isNull(), F.array(value)).when(F.is_variant_null(named), F.lit(None)).otherwise(F.coalesce(listed(named), F.array(named)))
+    return F.transform(F.when(value.isNotNull() & ~F.coalesce(F.is_variant_null(value), F.lit(False)), F.coalesce(listed(value), inner)), lambda x: F.to_json(x))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metasieve.functions import text as tx
+from metasieve.plans import extraction
 from metasieve.plans.queries import query, table
+from metasieve.plans.review import new_run
 from metasieve.sources import documents, paged
 
 # ---- paged sources ---------------------------------------------------------------------------------------------------
@@ -80,3 +83,71 @@ def download_cascade(spark, sf_dir):
     fetched = urls.select("study_id", "source", *(F.expr(x) for x in _FETCHED.replace(", CASE", "\nCASE").replace(", (", "\n(").split("\n")))
     cached = table(spark, sf_dir, "documents").filter("doc_id % 10 = 0").selectExpr("doc_id AS study_id", "doc_id % 1700 AS length")
     return documents.downloaded(urls, fetched, cached)
+
+
+# ---- the model boundary ----------------------------------------------------------------------------------------------
+
+_ITEM = "concat('{\"outcome_name\": \"o', o_orderkey, '\", \"n\": ', o_custkey, '}')"
+_SHAPES = f"""CASE o_orderkey % 9 WHEN 0 THEN concat('[', {_ITEM}, ', {{"n": 2}}]') WHEN 1 THEN concat('{{"extractions": [', {_ITEM}, ']}}') WHEN 2 THEN concat('```json\\n{{"outcomes": [', {_ITEM}, ', {{"n": 2}}]}}\\n```')
+  WHEN 3 THEN {_ITEM} WHEN 4 THEN concat('{{"outcomes": ', {_ITEM}, '}}') WHEN 5 THEN '{{"extractions": null, "outcomes": [1]}}' WHEN 6 THEN concat('Here: ', {_ITEM}) WHEN 7 THEN '[]' ELSE concat('{{"outcomes": [1], "extractions": [', {_ITEM}, ']}}') END"""
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 9 IN (0, 2) THEN 2 WHEN o_orderkey % 9 IN (5, 6) THEN NULL WHEN o_orderkey % 9 = 7 THEN 0 ELSE 1 END AS n_items,
+  CASE WHEN o_orderkey % 9 NOT IN (5, 6, 7) THEN concat('o', o_orderkey) END AS outcome_name, CASE WHEN o_orderkey % 9 NOT IN (5, 6, 7) THEN o_custkey END AS n FROM orders""")
+def coerced_answers(spark, sf_dir):
+    """Answers of nine shapes."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", tx.items(tx.answer(F.expr(_SHAPES)), "extractions", "outcomes").alias("i"))
+    first = F.from_json(F.get("i", F.lit(0)), "outcome_name string, n bigint")
+    return rows.select("o_orderkey", F.when(F.col("i").isNotNull(), F.size("i")).alias("n_items"), first["outcome_name"].alias("outcome_name"), first["n"].alias("n"))
+
+
+#: Whether a scripted answer is broken, by study k, round r, attempt a and try t.
+_BROKEN = "({k} * 7 + {r} * 3 + {a} * 5 + {t} * 2 + {k} // 11 * {r}) % 5 < 2"
+
+
+def _scripted(asked: DataFrame) -> DataFrame:
+    """key, attempt, response: answers that follow from the prompt, of which some are broken."""
+    k, r = "CAST(key AS BIGINT)", "CAST(right(phase, 1) AS INT)"
+    rows = asked.withColumnRenamed("attempt", "a").withColumn("attempt", F.explode(F.array(F.lit(2), F.lit(1), F.lit(3))))
+    n_outcomes = r"size(from_json(regexp_extract(user, '## Outcomes to Extract\n([^\n]*)', 1), 'array<string>'))"
+    n_rows = r"size(from_json(regexp_extract(user, '## Extracted Data\n([^\n]*)', 1), 'array<string>'))"
+    row = "'{\"arm1\": {\"n\": 1, \"mean\": null}}'"
+    listed = lambda n, item: f"concat('[', array_join(array_repeat({item}, {n}), ','), ']')"
+    answer = f"""CASE {r} WHEN 1 THEN concat('{{"primary_outcomes": ', CASE WHEN {k} % 4 = 0 THEN 'null' ELSE {listed(f"CAST({k} % 3 AS INT)", "'\"x\"'")} END, ', "secondary_outcomes": ["y"]}}')
+      WHEN 2 THEN CASE {k} % 3 WHEN 0 THEN {listed(n_outcomes, row)} WHEN 1 THEN concat('{{"extractions": ', {listed(n_outcomes, row)}, '}}') ELSE concat('{{"outcomes": ', {listed(n_outcomes, row)}, '}}') END
+      WHEN 3 THEN CASE WHEN {k} % 50 = 9 THEN '[]' ELSE concat('{{"checks_passed": ', {k} % 2 = 0, ', "issues": ', {listed(n_rows, "'1'")}, '}}') END
+      ELSE concat('{{"spans": ', {listed(n_rows, "concat('{\"match_confidence\": 0.', CAST(key AS BIGINT) % 10, '}')")}, '}}') END"""
+    broken = f"pmod({k} * 7 + {r} * 3 + a * 5 + attempt * 2 + {k} div 11 * {r}, 5) < 2"
+    return rows.select("key", "attempt", F.expr(f"CASE WHEN attempt < 3 AND {broken} THEN 'I am sorry' ELSE {answer} END").alias("response"))
+
+
+@query(f"""WITH s AS (SELECT doc_id AS k FROM documents), g AS (SELECT k, a, r, NOT ({_BROKEN.format(k="k", r="r", a="a", t=1)}) OR NOT ({_BROKEN.format(k="k", r="r", a="a", t=2)}) AS parses
+  FROM s, (VALUES (1), (2)) x(a), (VALUES (1), (2), (3), (4)) y(r)),
+f AS (SELECT k, a, coalesce(min(r) FILTER (WHERE NOT parses OR (r = 3 AND k % 50 = 9)), 5) AS bad FROM g GROUP BY k, a),
+d AS (SELECT x.k, CASE WHEN x.bad = 5 THEN 1 ELSE 2 END AS attempts, CASE WHEN x.bad = 5 THEN 5 ELSE y.bad END AS bad FROM f x JOIN f y ON x.k = y.k AND x.a = 1 AND y.a = 2),
+e AS (SELECT d.*, g.parses FROM d LEFT JOIN g ON g.k = d.k AND g.a = d.attempts AND g.r = d.bad),
+n AS (SELECT *, 1 + CASE WHEN k % 4 = 0 THEN 0 ELSE k % 3 END AS n FROM e)
+SELECT k AS study_id, attempts, bad - 1 AS rounds_completed, CASE WHEN bad = 5 THEN n END AS n_outcomes, CASE WHEN bad = 5 THEN n END AS n_extractions, CASE WHEN bad = 5 THEN k % 2 = 0 END AS checks_passed, CASE WHEN bad = 5 THEN n END AS n_issues,
+  CASE WHEN bad = 5 THEN n END AS n_spans, CASE WHEN bad = 5 THEN CASE WHEN k % 10 < 7 THEN n ELSE 0 END END AS n_low,
+  CASE WHEN bad < 5 THEN concat('round ', bad, CASE WHEN parses THEN ': the answer has no use' ELSE ': no answer parses' END) END AS error FROM n""")
+def extraction_rounds(spark, sf_dir):
+    """Four rounds over every document, with scripted answers that read their prompt."""
+    studies = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("study_id"), F.col("text").alias("content"))
+    found = extraction.extract(studies, "{}", _scripted, new_run(spark).keep)
+    n = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
+    return found.select("study_id", "attempts", "rounds_completed", n("outcomes").alias("n_outcomes"), n("extractions").alias("n_extractions"), "checks_passed", "n_issues", n("evidence_spans").alias("n_spans"), n("low_confidence_spans").alias("n_low"), "error")
+
+
+@query("""WITH t AS (SELECT doc_id AS study_id, lang, source, length(coalesce(text, '')) // 3 + 20 AS tokens, floor((sum(length(coalesce(text, '')) // 3 + 20) OVER (PARTITION BY source ORDER BY doc_id) - (length(coalesce(text, '')) // 3 + 20)) / 8000) AS batch FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY source, batch ORDER BY study_id) - 1 AS place, count(*) OVER (PARTITION BY source, batch) AS n FROM t),
+v AS (SELECT *, batch % 5 = 3 OR (batch % 5 = 2 AND place >= n - 2) AS missing FROM p)
+SELECT study_id, 'screener1' AS screener_id, CASE WHEN missing OR (place + batch) % 3 = 0 THEN 'include' ELSE 'exclude' END AS decision, CASE WHEN missing THEN 0 WHEN (place + batch) % 7 = 0 THEN 100 ELSE CAST((place * 13) % 101 AS INT) END AS confidence, missing AS parse_error FROM v""")
+def batch_screening(spark, sf_dir):
+    """Documents of each source packed into prompts of 8000 tokens; some answers are broken, some two votes short."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("study_id"), "source", F.lit("t").alias("title"), F.col("text").alias("abstract"))
+    packed = extraction.pack(rows, "source", "study_id", F.expr("length(coalesce(abstract, '')) div 3 + 20"), 8000)
+    asked = extraction.screening_prompts(packed, "source", "{}", "{}")
+    vote = "concat('{\"decision\": \"', CASE WHEN (p + batch) % 3 = 0 THEN 'Include' ELSE 'exclude ' END, '\", \"confidence\": ', CASE WHEN (p + batch) % 7 = 0 THEN 130 ELSE (p * 13) % 101 END, '}')"
+    places = "CASE WHEN batch % 5 = 2 THEN CASE WHEN n > 2 THEN sequence(0, n - 3) ELSE array() END ELSE sequence(0, n - 1) END"
+    answers = asked.withColumn("n", F.expr(r"size(regexp_extract_all(user, '(?m)^### \\d+\nTitle: t\n', 0))")).select("source", "batch", F.expr(f"CASE WHEN batch % 5 = 3 THEN 'oops' ELSE concat('{{\"votes\": [', array_join(transform({places}, p -> {vote}), ','), ']}}') END").alias("response"))
+    return extraction.batch_votes(packed, "source", answers, "screener1")

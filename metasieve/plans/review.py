@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +31,16 @@ class ReviewRun:
         return self.tables[name]
 
 
+def new_run(spark: SparkSession) -> ReviewRun:
+    """A run in a folder of its own below spark.checkpoint.dir; a local master without one takes a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="metasieve-")
+    return ReviewRun(spark, f"{shared.rstrip('/')}/metasieve/run-{uuid.uuid4().hex}")
+
+
 def screen(run: ReviewRun, studies: DataFrame, votes: DataFrame, arbitrations: DataFrame, exclusion: list[str] = (), required: list[str] = ()) -> DataFrame:
     """Deduplication, prescreening and dual screening; gives the included studies."""
     unique = run.keep("deduplicated", screening.dedup_by_title(studies))
