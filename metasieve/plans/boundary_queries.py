@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metasieve.functions import text as tx
+from metasieve.operators import harmonize
 from metasieve.plans import extraction
 from metasieve.plans.queries import query, table
 from metasieve.plans.review import new_run
@@ -151,3 +152,24 @@ def batch_screening(spark, sf_dir):
     places = "CASE WHEN batch % 5 = 2 THEN CASE WHEN n > 2 THEN sequence(0, n - 3) ELSE array() END ELSE sequence(0, n - 1) END"
     answers = asked.withColumn("n", F.expr(r"size(regexp_extract_all(user, '(?m)^### \\d+\nTitle: t\n', 0))")).select("source", "batch", F.expr(f"CASE WHEN batch % 5 = 3 THEN 'oops' ELSE concat('{{\"votes\": [', array_join(transform({places}, p -> {vote}), ','), ']}}') END").alias("response"))
     return extraction.batch_votes(packed, "source", answers, "screener1")
+
+
+# ---- harmonization ---------------------------------------------------------------------------------------------------
+
+_SPELLED = "CASE c_custkey % 4 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) WHEN 2 THEN concat(' ', n_name, ' ') ELSE concat(upper(substring(n_name, 1, 1)), lower(substring(n_name, 2, 30))) END"
+
+
+@query(f"""WITH r AS (SELECT c_custkey, n_nationkey, {_SPELLED} AS raw FROM customer JOIN nation ON c_nationkey = n_nationkey),
+f AS (SELECT n_nationkey, raw, min(c_custkey) AS o FROM r GROUP BY ALL),
+k AS (SELECT n_nationkey, arg_min(raw, struct_pack(n := CASE WHEN n_nationkey % 5 = 0 THEN 0 ELSE length(raw) END, o := o)) AS canonical, count(*) AS n_members FROM f GROUP BY n_nationkey)
+SELECT c_custkey, canonical AS canonical_outcome, n_members FROM r JOIN k USING (n_nationkey)""")
+def harmonize_names(spark, sf_dir):
+    """Customers' nations in four spellings; a fifth of the nations have no vectors, so spelling alone joins their names."""
+    nations = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = nations.select("c_custkey", "n_nationkey", F.col("c_custkey").alias("ord"), F.expr(_SPELLED).alias("outcome_name"))
+    # a nation's vector is its own direction, a little turned by the spelling
+    known = rows.filter("n_nationkey % 5 <> 0").groupBy(F.col("outcome_name").alias("name")).agg(F.min("n_nationkey").alias("k"), F.min(F.length("outcome_name")).alias("n"))
+    vectors = known.select("name", F.expr("transform(sequence(0, 24), i -> CASE WHEN i = k THEN 1.0D WHEN i = n % 25 THEN 0.1D ELSE 0.0D END)").alias("vector"))
+    clusters, data, _ = harmonize.harmonize(rows, vectors)
+    sizes = clusters.select("canonical", F.size("members").cast("long").alias("n_members"))
+    return data.join(sizes, F.col("canonical_outcome") == F.col("canonical")).select("c_custkey", "canonical_outcome", "n_members")

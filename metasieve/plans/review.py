@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from metasieve.operators import analysis, harmonize, quality, screening
+from metasieve.sources.scratch import scratch_dir
 
 
 @dataclass
@@ -33,12 +32,7 @@ class ReviewRun:
 
 def new_run(spark: SparkSession) -> ReviewRun:
     """A run in a folder of its own below spark.checkpoint.dir; a local master without one takes a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="metasieve-")
-    return ReviewRun(spark, f"{shared.rstrip('/')}/metasieve/run-{uuid.uuid4().hex}")
+    return ReviewRun(spark, scratch_dir(spark, "run"))
 
 
 def screen(run: ReviewRun, studies: DataFrame, votes: DataFrame, arbitrations: DataFrame, exclusion: list[str] = (), required: list[str] = ()) -> DataFrame:
@@ -51,8 +45,13 @@ def screen(run: ReviewRun, studies: DataFrame, votes: DataFrame, arbitrations: D
 
 def analyse(run: ReviewRun, extractions: DataFrame, clusters: DataFrame | None = None, plan: DataFrame | None = None) -> dict[str, DataFrame]:
     """Harmonization, statistics and flags of the extracted rows (outcome_name, ord, study_id, arm1, arm2)."""
-    clusters = harmonize.cluster_by_spelling(harmonize.outcome_names(extractions)) if clusters is None else clusters
-    rows = run.keep("harmonized", harmonize.apply_mapping(extractions, clusters)).withColumn("outcome", harmonize.F.col("canonical_outcome"))
+    if clusters is None:
+        clusters, data, left = harmonize.harmonize(extractions)
+        run.keep("outcome_clusters", clusters)
+        run.keep("unmapped", left)
+    else:
+        data = harmonize.apply_mapping(extractions, clusters)
+    rows = run.keep("harmonized", data).withColumn("outcome", F.col("canonical_outcome"))
     found = analysis.analyze(rows, plan)
     return {k: run.keep(k, df) for k, df in found.items()}
 
@@ -63,7 +62,7 @@ def rate(run: ReviewRun, rob_votes: DataFrame, max_iterations: int = 3) -> tuple
     Callers loop at most max_iterations times.
     """
     assessed = run.keep("risk_of_bias", quality.assess_rob(rob_votes, default_missing=True))
-    overall = assessed.filter("error IS NULL").agg({"n_high": "count"}).first()[0]
-    high = assessed.filter("overall = 'high'").count() / overall if overall else 0.0
-    graded = run.keep("certainty", quality.assess_grade(quality.grade_inputs(run.tables["results"], high).drop("error")))
+    share = assessed.agg(F.coalesce(F.count_if(F.col("error").isNull() & (F.col("overall") == "high")) / F.nullif(F.count_if(F.col("error").isNull()), F.lit(0)), F.lit(0.0)).alias("proportion_high"))
+    rows = run.tables["results"].join(F.broadcast(share))  # one row
+    graded = run.keep("certainty", quality.assess_grade(quality.grade_inputs(rows, F.col("proportion_high")).drop("error")))
     return graded, max_iterations > 0 and quality.needs_re_extraction(run.tables["flags"])

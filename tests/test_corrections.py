@@ -105,3 +105,36 @@ def test_ties_in_the_order_keep_one_title(spark):
     df = spark.createDataFrame([(1, "A", 1), (1, "a ", 2), (2, "", 3), (2, "", 4)], "ord int, title string, _key int")
     got = screening.dedup_by_title(df).collect()
     assert len(got) == 3 and screening.dedup_by_title(df).columns == df.columns
+
+
+@pytest.mark.parametrize("part", [1024, 7])
+def test_blocks_of_any_size_cluster_as_the_plain_rule(spark, part):
+    rng = np.random.default_rng(part)
+    centres = rng.normal(size=(6, 8))
+    rows = [("r", f"n{k:03d}", k, (centres[k % 6] + rng.normal(scale=0.35, size=8)).tolist()) for k in range(60)] + [("s", "only", 0, [1.0] + [0.0] * 7), ("s", "zero", 1, [0.0] * 8)]
+    got = harmonize.cluster_by_vector(spark.createDataFrame(rows, "review string, name string, ord int, vector array<double>"), "review", part=part).collect()
+    want = plain_linkage(harmonize.unit([r[3] for r in rows[:60]]), 0.2)
+    assert sorted(sorted(int(n[1:]) for n in r.members) for r in got if r.review == "r") == want
+    assert sorted(r.members for r in got if r.review == "s") == [["only"], ["zero"]]
+
+
+def test_names_without_vectors_cluster_by_spelling(spark):
+    names = spark.createDataFrame([("Pain score", 0), ("pain  SCORE ", 1), ("pain scores", 2), ("Mortality", 3), (" mortality", 4), ("QoL", 5)], "name string, ord long")
+    got = {tuple(r.members): (r.canonical, r.position) for r in harmonize.cluster_names(names).collect()}
+    assert got == {("Pain score", "pain  SCORE ", "pain scores"): ("Pain score", 0), ("Mortality", " mortality"): ("Mortality", 3), ("QoL",): ("QoL", 5)}
+    vectors = spark.createDataFrame([("Pain score", [1.0, 0.0]), ("pain  SCORE ", [1.0, 0.1]), ("Mortality", [0.0]), (" mortality", None), ("QoL", [0.0, 0.0])], "name string, vector array<double>")
+    got = {tuple(r.members) for r in harmonize.cluster_names(names, vectors).collect()}
+    assert got == {("Pain score", "pain  SCORE "), ("pain scores",), ("Mortality", " mortality"), ("QoL",)}
+
+
+def test_harmonize_with_a_review(spark):
+    rows = spark.createDataFrame([(0, "Pain"), (1, "pain "), (2, "Death"), (3, None)], "ord long, outcome_name string")
+    review = lambda text: spark.createDataFrame([(text,)], "response string")
+    clusters, data, left = harmonize.harmonize(rows)
+    assert {r.outcome_name: r.canonical_outcome for r in data.collect()} == {"Pain": "Pain", "pain ": "Pain", "Death": "Death", None: None} and left.count() == 0 and clusters.count() == 2
+    _, data, left = harmonize.harmonize(rows, review=review('```json\n{"clusters": {"Pain (VAS)": ["Pain", "pain "]}, "unmapped": ["Death"]}\n```'))
+    assert {r.outcome_name: r.canonical_outcome for r in data.collect()} == {"Pain": "Pain (VAS)", "pain ": "Pain (VAS)", "Death": "Death", None: None} and [r.name for r in left.collect()] == ["Death"]
+    clusters, data, left = harmonize.harmonize(rows, review=review("sorry"))
+    assert {r.canonical for r in clusters.collect()} == {"Pain", "Death"} and left.count() == 0
+    empty = harmonize.harmonize(rows.limit(0))
+    assert all(df.count() == 0 for df in empty)
