@@ -20,15 +20,19 @@ def _d(*xs: Column | str | float) -> list[Column]:
     return [_c(x).cast("double") for x in xs]
 
 
-def _valid(condition: Column, value: Column) -> Column:
-    """value where the condition holds and value is a number, else null."""
-    return F.when(condition & value.isNotNull() & ~F.isnan(value), value)
+def _interval(ok: Column, effect: Column, se: Column, name: str, **more: Column) -> Column:
+    """The struct of an effect and its limits, null unless ok holds and both are numbers.
 
+    A lambda binds the effect and its error: written out, a formula would be copied into each field, beyond what the
+    compiler takes as one method.
+    """
+    def made(v: Column) -> Column:
+        e, s = v["e"], v["s"]
+        known = F.coalesce(v["ok"], F.lit(False)) & e.isNotNull() & ~F.isnan(e) & s.isNotNull() & ~F.isnan(s)
+        return F.when(known, F.struct(e.alias(name), s.alias("se"), (e - Z95 * s).alias("ci_lower"), (e + Z95 * s).alias("ci_upper"), *(v[k].alias(k) for k in more)))
 
-def _interval(ok: Column, effect: Column, se: Column, name: str, **more: Column) -> Column:
-    e, s = _valid(ok, effect), _valid(ok, se)
-    fields = [e.alias(name), s.alias("se"), (e - Z95 * s).alias("ci_lower"), (e + Z95 * s).alias("ci_upper")]
-    return F.when(e.isNotNull() & s.isNotNull(), F.struct(*fields, *(v.alias(k) for k, v in more.items())))
+    bound = F.struct(ok.alias("ok"), effect.alias("e"), se.alias("s"), *(v.alias(k) for k, v in more.items()))
+    return F.get(F.transform(F.array(bound), made), F.lit(0))
 
 
 def _over(a: Column, b: Column) -> Column:
@@ -94,17 +98,27 @@ def impute_sd(n, sd, se, ci_lower, ci_upper) -> Column:
     return F.coalesce(sd, se * root, root * (hi - lo) / 3.92)
 
 
-def effect_for(effect_type: Column, arm1: dict[str, Column], arm2: dict[str, Column]) -> Column:
-    """effect, se of the planned type: SMD, MD, logRR, logOR or RD; null for another type or inputs out of its domain.
+def effect_of(kind: str, arm1: dict[str, Column], arm2: dict[str, Column]) -> tuple[Column, str]:
+    """(the struct of one type: SMD, MD, logRR, logOR or RD; its field that is the effect); null for inputs out of its domain.
 
     An arm is a dict of columns n, mean, sd, events, total.
     """
-    cont = (arm1["n"], arm1["mean"], arm1["sd"], arm2["n"], arm2["mean"], arm2["sd"])
+    continuous = (arm1["n"], arm1["mean"], arm1["sd"], arm2["n"], arm2["mean"], arm2["sd"])
     risk = (arm1["events"], arm1["total"], arm2["events"], arm2["total"])
-    smd, md, rr, rd = hedges_g(*cont), mean_difference(*cont), log_risk_ratio(*risk), risk_difference(*risk)
-    odds = odds_ratio(arm1["events"], arm1["total"] - arm1["events"], arm2["events"], arm2["total"] - arm2["events"])
+    if kind == "SMD":
+        return hedges_g(*continuous), "g"
+    if kind == "MD":
+        return mean_difference(*continuous), "md"
+    if kind == "logOR":
+        return odds_ratio(arm1["events"], arm1["total"] - arm1["events"], arm2["events"], arm2["total"] - arm2["events"]), "log_or"
+    return (log_risk_ratio(*risk), "log_rr") if kind == "logRR" else (risk_difference(*risk), "rd")
+
+
+def effect_for(effect_type: Column, arm1: dict[str, Column], arm2: dict[str, Column]) -> Column:
+    """effect, se of the planned type (see effect_of); null for another type."""
     out = F.lit(None).cast("struct<effect:double,se:double>")
-    for kind, x, e in (("SMD", smd, "g"), ("MD", md, "md"), ("logRR", rr, "log_rr"), ("logOR", odds, "log_or"), ("RD", rd, "rd")):
+    for kind in ("SMD", "MD", "logRR", "logOR", "RD"):
+        x, e = effect_of(kind, arm1, arm2)
         out = F.when(effect_type == kind, F.when(x.isNotNull(), F.struct(x[e].alias("effect"), x["se"].alias("se")))).otherwise(out)
     return out
 

@@ -1,4 +1,4 @@
-"""Queries of the sources and the model boundary over the benchmark tables; importing this module registers them."""
+"""Queries of the sources, the model boundary and whole analyses over the benchmark tables; importing this module registers them."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metasieve.functions import text as tx
-from metasieve.operators import harmonize
+from metasieve.operators import analysis, harmonize
 from metasieve.plans import extraction
-from metasieve.plans.queries import query, table
+from metasieve.plans.bindings import ARMS, arms, plain, run_sql
+from metasieve.plans.queries import SMD, TCRIT, A, extraction_rows, pool_sql, query, table
 from metasieve.plans.review import new_run
 from metasieve.sources import documents, paged
 
@@ -173,3 +174,67 @@ def harmonize_names(spark, sf_dir):
     clusters, data, _ = harmonize.harmonize(rows, vectors)
     sizes = clusters.select("canonical", F.size("members").cast("long").alias("n_members"))
     return data.join(sizes, F.col("canonical_outcome") == F.col("canonical")).select("c_custkey", "canonical_outcome", "n_members")
+
+
+# ---- whole analyses --------------------------------------------------------------------------------------------------
+
+#: The effects that extraction_rows() leads to: standardised differences, and odds for the binary outcome.
+_ANY = f"""{SMD}, lo AS (SELECT *, ln((events1 * 1.0 * (n2 - events2)) / ((n1 - events1) * 1.0 * events2)) AS e, sqrt(1.0 / events1 + 1.0 / (n1 - events1) + 1.0 / events2 + 1.0 / (n2 - events2)) AS s FROM arms WHERE events1 > 0 AND events2 > 0 AND n1 > events1 AND n2 > events2),
+anyeff AS (SELECT outcome, ord, study_id, subgroup, effect, se FROM eff WHERE substring(outcome, 1, 1) <> '3' UNION ALL SELECT outcome, ord, study_id, subgroup, e, s FROM lo WHERE substring(outcome, 1, 1) = '3')"""
+_RESULT = ("pooled_effect", "pooled_se", "ci_lower", "ci_upper", "tau2", "i2", "q")
+
+
+def _dl_analysis(spark, sf_dir) -> dict[str, DataFrame]:
+    rows = extraction_rows(spark, sf_dir)
+    plan = analysis.default_plan(analysis.data_profile(rows)).withColumn("method", F.lit("DL"))
+    return analysis.analyze(rows, plan)
+
+
+@query(f"WITH {_ANY}, {TCRIT}, {pool_sql('anyeff', 'outcome')} SELECT outcome, CASE WHEN substring(outcome, 1, 1) = '3' THEN 'logOR' ELSE 'SMD' END AS effect_type, k, k >= 2 AS has_loo, {', '.join(f'round({c}, 5) AS {c}' for c in _RESULT)} FROM pooled")
+def analyze_dl(spark, sf_dir):
+    """The whole analysis under a plan that pools by DerSimonian and Laird."""
+    r = _dl_analysis(spark, sf_dir)["results"]
+    return r.select("outcome", "effect_type", "k", "has_loo", *(F.round(c, 5).alias(c) for c in _RESULT))
+
+
+@query(f"WITH {_ANY}, {TCRIT}, {pool_sql('anyeff', 'outcome', 'subgroup')} SELECT outcome, 'subgroup_region' AS variable, subgroup, k, {', '.join(f'round({c}, 5) AS {c}' for c in _RESULT)} FROM pooled")
+def analyze_subgroups(spark, sf_dir):
+    """The planned subgroups of the same analysis."""
+    s = _dl_analysis(spark, sf_dir)["subgroups"]
+    return s.select("outcome", "variable", "subgroup", "k", *(F.round(c, 5).alias(c) for c in _RESULT))
+
+
+_KIND = "CASE ord % 6 WHEN 0 THEN 'SMD' WHEN 1 THEN 'MD' WHEN 2 THEN 'logRR' WHEN 3 THEN 'logOR' WHEN 4 THEN 'RD' ELSE 'HR' END"
+_DAMAGED = f"""SELECT concat(outcome, '/', {_KIND}) AS outcome, ord, study_id, {_KIND} AS effect_type, CASE WHEN ord % 7 <> 3 THEN n1 END AS n1, n2, CASE WHEN ord % 8 <> 1 THEN mean1 END AS mean1, mean2,
+  CASE WHEN ord % 8 <> 1 THEN sd1 * CASE WHEN ord = 12 THEN 0 ELSE 1 END END AS sd1, CASE WHEN ord % 11 <> 6 THEN sd2 * CASE WHEN ord = 12 THEN 0 ELSE 1 END END AS sd2,
+  CASE WHEN ord % 8 <> 1 AND ord <> 14 THEN CASE WHEN ord = 15 THEN n1 ELSE events1 END END AS events1, CASE WHEN ord = 20 THEN 0 ELSE events2 END AS events2 FROM arms"""
+
+
+@query(f"""WITH {A}, d AS ({_DAMAGED}),
+m AS (SELECT *, list_filter(CASE WHEN effect_type IN ('SMD', 'MD') THEN [CASE WHEN n1 IS NULL THEN 'arm1.n' END, CASE WHEN mean1 IS NULL THEN 'arm1.mean' END, CASE WHEN sd1 IS NULL THEN 'arm1.sd' END, CASE WHEN n2 IS NULL THEN 'arm2.n' END, CASE WHEN mean2 IS NULL THEN 'arm2.mean' END, CASE WHEN sd2 IS NULL THEN 'arm2.sd' END]
+  ELSE [CASE WHEN events1 IS NULL THEN 'arm1.events' END, CASE WHEN n1 IS NULL THEN 'arm1.total' END, CASE WHEN events2 IS NULL THEN 'arm2.events' END, CASE WHEN n2 IS NULL THEN 'arm2.total' END] END, lambda x: x IS NOT NULL) AS missing FROM d),
+r AS (SELECT *, coalesce(mean1, sd1, events1) IS NULL AS none, CASE WHEN len(missing) > 0 THEN NULL WHEN effect_type = 'SMD' AND sd1 * sd1 * (n1 - 1) + sd2 * sd2 * (n2 - 1) > 0 THEN
+    (mean1 - mean2) / sqrt(((n1 - 1) * sd1 * sd1 + (n2 - 1) * sd2 * sd2) / (n1 + n2 - 2)) * (1 - 3.0 / (4 * (n1 + n2 - 2) - 1))
+  WHEN effect_type = 'MD' THEN mean1 - mean2 WHEN effect_type = 'logRR' AND events1 > 0 AND events2 > 0 THEN ln((events1 * 1.0 / n1) / (events2 * 1.0 / n2))
+  WHEN effect_type = 'logOR' AND events1 > 0 AND events2 > 0 AND n1 > events1 AND n2 > events2 THEN ln((events1 * 1.0 * (n2 - events2)) / ((n1 - events1) * 1.0 * events2)) WHEN effect_type = 'RD' THEN events1 * 1.0 / n1 - events2 * 1.0 / n2 END AS e FROM m)
+SELECT outcome, ord, effect_type, CASE WHEN NOT none THEN round(e, 6) END AS effect, CASE WHEN none THEN 'no data' WHEN effect_type = 'HR' THEN 'unknown effect type' WHEN len(missing) > 0 THEN concat('missing: ', array_to_string(missing, ', ')) WHEN e IS NULL THEN 'outside the domain' END AS reason FROM r""")
+def judged_rows(spark, sf_dir):
+    """Every row under a type of its own, some damaged: its effect, or why it has none."""
+    d = run_sql(spark, sf_dir, f"WITH {A.replace(plain(ARMS), ARMS)} {_DAMAGED}")
+    arm = lambda k: F.struct(*(F.col(f"{f}{k}").cast(t).alias(f) if f in ("n", "mean", "sd", "events") else F.lit(None).cast(t).alias(f) for f, t in (("n", "long"), ("mean", "double"), ("sd", "double"), ("se", "double"), ("ci_lower", "double"), ("ci_upper", "double"), ("events", "long"))), F.col(f"n{k}").cast("long").alias("total"))
+    plan = d.select("outcome", "effect_type").distinct().withColumns({"method": F.lit("DL"), "apply_hksj": F.lit(True)})
+    judged = analysis.judged_effects(d.select("outcome", "ord", "study_id", arm(1).alias("arm1"), arm(2).alias("arm2")), plan)
+    return judged.select("outcome", "ord", "effect_type", F.round("effect", 6).alias("effect"), "reason")
+
+
+@query(f"""WITH {A}, r AS (SELECT study_id, outcome, CASE WHEN CAST(substring(outcome, 1, 1) AS INT) > 3 THEN 'late' END AS timepoint, ord, CASE WHEN ord % 3 = 0 THEN n1 ELSE 100 END AS n1, CASE WHEN ord % 5 = 0 THEN NULL ELSE 100 END AS n2, mean1, mean2, sd1, sd2 FROM arms),
+s AS (SELECT study_id, timepoint, coalesce(min(n1) <> max(n1), false) OR coalesce(min(n2) <> max(n2), false) AS differs FROM r GROUP BY study_id, timepoint)
+SELECT r.study_id, r.outcome, r.timepoint, ord, array_to_string(list_filter([CASE WHEN differs THEN 'n_differs' END, CASE WHEN substring(outcome, 1, 1) <> '5' AND (mean1 < 36000 OR mean1 > 39000 OR mean2 < 36000 OR mean2 > 39000) THEN 'mean_outside' END, CASE WHEN substring(outcome, 1, 1) <> '5' AND (sd1 > 1500 OR sd2 > 1500) THEN 'sd_implausible' END], lambda x: x IS NOT NULL), ',') AS issues
+FROM r JOIN s ON r.study_id = s.study_id AND r.timepoint IS NOT DISTINCT FROM s.timepoint""")
+def cross_check_rows(spark, sf_dir):
+    """Two timepoints, sizes that differ between outcomes for every third study, ranges for all outcomes but one."""
+    a = arms(spark, sf_dir)
+    arm = lambda n, k: F.struct(n.alias("n"), F.col(f"mean{k}").alias("mean"), F.col(f"sd{k}").alias("sd"))
+    rows = a.select("study_id", "outcome", F.expr("CASE WHEN CAST(substring(outcome, 1, 1) AS INT) > 3 THEN 'late' END").alias("timepoint"), "ord", arm(F.expr("CASE WHEN ord % 3 = 0 THEN n1 ELSE 100 END"), 1).alias("arm1"), arm(F.expr("CASE WHEN ord % 5 = 0 THEN NULL ELSE 100 END"), 2).alias("arm2"))
+    ranges = a.filter("substring(outcome, 1, 1) <> '5'").select("outcome").distinct().withColumns({"low": F.lit(36000.0), "high": F.lit(39000.0)})
+    return analysis.cross_check_rows(rows, ranges).withColumn("issues", F.array_join("issues", ","))

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from metasieve.functions.distributions import t_critical, t_ppf
@@ -138,3 +139,27 @@ def test_harmonize_with_a_review(spark):
     assert {r.canonical for r in clusters.collect()} == {"Pain", "Death"} and left.count() == 0
     empty = harmonize.harmonize(rows.limit(0))
     assert all(df.count() == 0 for df in empty)
+
+
+def test_rows_are_effects_or_rejected_with_a_reason(spark):
+    kind = "outcome string, ord int, study_id string, arm1 struct<n:long,mean:double,sd:double,se:double,ci_lower:double,ci_upper:double,events:long,total:long>, arm2 struct<n:long,mean:double,sd:double,se:double,ci_lower:double,ci_upper:double,events:long,total:long>"
+    full, none = (10, 2.0, 1.0, None, None, None, 3, 10), (10,) + (None,) * 7
+    rows = spark.createDataFrame([("smd", 0, "a", full, full), ("smd", 1, "b", none, full), ("smd", 2, "c", full, none), ("smd", 3, "d", (1, 2.0, 1.0, None, None, None, 3, 10), (1, 2.0, 1.0, None, None, None, 3, 10)), ("or", 0, "a", full, full), ("or", 1, "b", (10, None, None, None, None, None, 0, 10), full), ("hr", 0, "a", full, full), ("smd", 4, "e", (9, 2.0, None, 0.5, None, None, None, None), full), ("other", 0, "x", full, full)], kind)
+    plan = spark.createDataFrame([("smd", "SMD"), ("or", "logOR"), ("hr", "HR")], "outcome string, effect_type string").withColumns({"method": F.lit("DL"), "apply_hksj": F.lit(True)})
+    counts = Observation("rows")
+    judged = analysis.judged_effects(rows, plan, counts)
+    got = {(r.outcome, r.ord): (r.effect, r.reason) for r in judged.collect()}
+    reasons = {k: v[1] for k, v in got.items()}
+    assert reasons == {("smd", 0): None, ("smd", 1): "no data", ("smd", 2): "missing: arm2.mean, arm2.sd", ("smd", 3): "outside the domain", ("smd", 4): None, ("or", 0): None, ("or", 1): "outside the domain", ("hr", 0): "unknown effect type"}
+    assert all((e is None) == (r is not None) for e, r in got.values())
+    assert counts.get == {"n_effects": 3, "n_rejected": 5}
+    assert analysis.rejected(judged).count() == 5 and analysis.planned_effects(rows, plan).count() == 3
+
+
+def test_sizes_and_ranges_across_outcomes(spark):
+    arm = lambda n, mean=None, sd=None: (n, mean, sd)
+    rows = spark.createDataFrame([("s", "a", "w1", 0, arm(10, 5.0, 1.0), arm(9)), ("s", "b", "w1", 1, arm(10, 99.0), arm(8)), ("s", "a", "w2", 2, arm(7, 5.0, 6.0), arm(9)), ("t", "a", None, 0, arm(None), arm(4, -1.0)), ("t", "c", None, 1, arm(3), arm(4))], "study_id string, outcome string, timepoint string, ord int, arm1 struct<n:long,mean:double,sd:double>, arm2 struct<n:long,mean:double,sd:double>")
+    ranges = spark.createDataFrame([("a", 0.0, 10.0)], "outcome string, low double, high double")
+    got = {(r.study_id, r.ord): r.issues for r in analysis.cross_check_rows(rows, ranges).collect()}
+    assert got == {("s", 0): ["n_differs"], ("s", 1): ["n_differs"], ("s", 2): ["sd_implausible"], ("t", 0): ["mean_outside"], ("t", 1): []}
+    assert all(not r.issues or r.issues == ["n_differs"] for r in analysis.cross_check_rows(rows).collect())
