@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metasieve.functions import text as tx
-from metasieve.operators import analysis, harmonize
-from metasieve.plans import extraction
+from metasieve.operators import analysis, harmonize, screening, writing
+from metasieve.plans import extraction, manuscript
 from metasieve.plans.bindings import ARMS, arms, plain, run_sql
 from metasieve.plans.queries import SMD, TCRIT, A, extraction_rows, pool_sql, query, table
 from metasieve.plans.review import new_run
-from metasieve.sources import documents, paged
+from metasieve.sources import documents, paged, tables
 
 # ---- paged sources ---------------------------------------------------------------------------------------------------
 
@@ -238,3 +238,61 @@ def cross_check_rows(spark, sf_dir):
     rows = a.select("study_id", "outcome", F.expr("CASE WHEN CAST(substring(outcome, 1, 1) AS INT) > 3 THEN 'late' END").alias("timepoint"), "ord", arm(F.expr("CASE WHEN ord % 3 = 0 THEN n1 ELSE 100 END"), 1).alias("arm1"), arm(F.expr("CASE WHEN ord % 5 = 0 THEN NULL ELSE 100 END"), 2).alias("arm2"))
     ranges = a.filter("substring(outcome, 1, 1) <> '5'").select("outcome").distinct().withColumns({"low": F.lit(36000.0), "high": F.lit(39000.0)})
     return analysis.cross_check_rows(rows, ranges).withColumn("issues", F.array_join("issues", ","))
+
+
+# ---- tables, writing, figures ----------------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT page_id, length(coalesce(html, '')) AS n FROM pages)
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat('| page | size |', chr(10), '| --- | --- |', chr(10), '| p', page_id, ' | ', n, ' |')
+  WHEN 1 THEN concat('| p', page_id, ' |  | x |', chr(10), '| --- | --- | --- |', chr(10), '|  |  | ', n, ' |', chr(10), '| a & b | c |  |')
+  WHEN 2 THEN concat('| inner |', chr(10), '| --- |', chr(10), chr(10), '| ', n, ' | z |', chr(10), '| --- | --- |') END AS markdown FROM p""")
+def page_tables(spark, sf_dir):
+    """Pages with a table of three kinds appended: plain, with spans in both directions, and one inside another."""
+    n = "length(coalesce(html, ''))"
+    table_of = f"""CASE page_id % 4 WHEN 0 THEN concat('<table><tr><th>page<th>size<tr><td>p', page_id, '<td>', {n}, '</table>')
+      WHEN 1 THEN concat('<table><tr><td colspan=2 rowspan=2>p', page_id, '</td><td>x</td></tr><tr><td>', {n}, '</td></tr><tr><td>a &amp; b</td><td>c</td></tr></table><table><tr><td> </td></tr></table>')
+      WHEN 2 THEN concat('<table><tr><td>', {n}, '</td><td><table><tr><td>inner</td></tr></table>z</td></tr></table>') ELSE '' END"""
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.expr(f"concat(coalesce(html, ''), {table_of})"))
+    return tables.find_tables(pages).select("page_id", tables.tables_markdown(F.col("tables")).alias("markdown"))
+
+
+_FAILS = "(k * 3 + {r} * 5) % 7 = 0"
+
+
+def _writer(asked: DataFrame) -> DataFrame:
+    """Scripted answers: a section tells how long its prompt is, and whether it saw what it should."""
+    section = "right(phase, length(phase) - 7)"
+    seen = "concat(length(regexp_replace(user, '[^#]', '')), CASE WHEN contains(user, 'Statistical Results') THEN 's' ELSE '' END, CASE WHEN contains(user, 'Thesis for') THEN 't' ELSE '' END, CASE WHEN contains(user, 'could not be') THEN 'p' ELSE '' END)"
+    body = f"CASE WHEN phase = 'writer_synthesis' THEN '{{\"narrative_skeleton\": {{\"results\": \"it works\"}}}}' ELSE concat('{{\"text\": \"', {section}, ' ', {seen}, '\"}}') END"
+    order = "array_position(array('writer_synthesis', 'writer_methods', 'writer_results', 'writer_discussion', 'writer_introduction', 'writer_abstract'), phase)"
+    return asked.select("key", F.lit(1).alias("attempt"), F.expr(f"CASE WHEN (length(key) * 3 + {order} * 5) % 7 = 0 THEN '[]' ELSE {body} END").alias("response"))
+
+
+def _sections_sql() -> str:
+    """The five sections from what failed before each: `#` signs of the prompt, then s, t, p for what it holds."""
+    bad = lambda r: f"(k * 3 + {r} * 5) % 7 = 0"
+    out = []
+    for i, s in enumerate(manuscript.SECTIONS):
+        marks = 2 * 3 + (2 if s in manuscript.SEE_STATISTICS else 0) + (2 + 3 * i if i else 0)
+        thesis = f"CASE WHEN {bad(1)} THEN 0 ELSE 2 END" if s == "results" else "0"
+        flags = [f"CASE WHEN {bad(1)} THEN '' ELSE 't' END" if s == "results" else "''", " OR ".join(f"({bad(j + 2)})" for j in range(i)) or "false"]
+        out.append(f"SELECT report, '{s}' AS section, CASE WHEN {bad(i + 2)} THEN '[{s} section could not be generated]' ELSE concat('{s} ', {marks} + {thesis} + CASE WHEN q THEN 2 ELSE 0 END, '{'s' if s in manuscript.SEE_STATISTICS else ''}', {flags[0]}, CASE WHEN {flags[1]} THEN 'p' ELSE '' END) END AS text FROM r")
+    return "WITH r AS (SELECT n_name AS report, length(n_name) AS k, n_nationkey % 2 = 0 AS q FROM nation) " + " UNION ALL ".join(out)
+
+
+@query(_sections_sql())
+def written_sections(spark, sf_dir):
+    """A report for each nation, with scripted answers of which some fail."""
+    reports = table(spark, sf_dir, "nation").select(F.col("n_name").alias("report"), F.lit("{}").alias("pico"), F.lit("{}").alias("statistics"), F.lit("[]").alias("extractions"), F.expr("CASE WHEN n_nationkey % 2 = 0 THEN '{\"q\": 1}' END").alias("quality"))
+    return manuscript.write_sections(reports, _writer, new_run(spark).keep).select("report", "section", "text")
+
+
+@query("SELECT source, concat('Records identified', chr(10), '(n = ', count(*), ')') AS first_box, count(*) FILTER (WHERE lang = 'en') AS included FROM documents GROUP BY source")
+def prisma_figure(spark, sf_dir):
+    """A flow for each source: its documents are identified, the English ones included."""
+    n, e = F.count(F.lit(1)), F.count_if(F.col("lang") == "en")
+    zero = F.lit(0).cast("long")
+    counts = table(spark, sf_dir, "documents").groupBy("source").agg(n.alias("n"), e.alias("e")).select("source", screening.prisma_counts(F.col("n"), F.col("n"), zero, F.col("n"), F.col("n") - F.col("e"), zero, F.col("e"), zero, F.col("e"), zero).alias("counts"))
+    boxes = writing.prisma_layout(counts).filter("kind <> 'arrow'").groupBy("source").agg(F.max(F.when(F.col("y") == 15.0, F.col("text"))).alias("first_box"), F.max(F.when(F.col("y") == 8.2, F.regexp_extract("text", r"n = (\d+)", 1).cast("long"))).alias("included"))
+    return boxes
