@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from metasieve.functions import text as tx
 from metasieve.plans.responders import Responder
+from metasieve.sources.scratch import stored
 
 #: Attempts of a study at all four rounds, and answers to one prompt of which the first that parses counts.
 ATTEMPTS, TRIES = 2, 2
@@ -126,12 +127,18 @@ def pack(rows: DataFrame, group: str, order: str, tokens: Column, budget: int) -
     """rows with batch and place: consecutive rows of a group that fit a prompt of `budget` tokens together.
 
     A row goes to the batch in which its running total of tokens begins: a batch begins less than budget tokens after the
-    one before it, and a row longer than the budget does not split. Rows of a group are ranked by its sorted order.
+    one before it, and a row longer than the budget does not split. Rows of a group come in its sorted order, null first.
+    Totals run within ranges of the sorted rows, and behind the sums of the ranges before, so a group of any size is dealt
+    over many tasks; the ranges are stored, since both sums must see the same ones.
     """
-    w = Window.partitionBy(group).orderBy(order)
-    before = F.sum(tokens).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - tokens
-    placed = rows.withColumn("batch", F.floor(before / budget))
-    return placed.withColumn("place", F.row_number().over(Window.partitionBy(group, "batch").orderBy(order)) - 1)
+    ranged = stored(rows.withColumn("_tokens", tokens.cast("long")).repartitionByRange(group, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(F.sum("_tokens").alias("_sum"))
+    earlier = F.sum("_sum").over(Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("_g", "_r", F.coalesce(earlier, F.lit(0)).alias("_earlier"))
+    within = Window.partitionBy(group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totalled = ranged.withColumn("_total", F.sum("_tokens").over(within)).join(sums, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    placed = totalled.withColumn("batch", F.floor((F.col("_earlier") + F.col("_total") - F.col("_tokens")) / budget))
+    return placed.withColumn("place", F.row_number().over(Window.partitionBy(group, "batch").orderBy(order)) - 1).select(*(F.col(f"`{c}`") for c in rows.columns), "batch", "place")
 
 
 def screening_prompts(packed: DataFrame, group: str, pico: str, criteria: str) -> DataFrame:

@@ -81,6 +81,23 @@ def test_batches_hold_every_study_once(spark):
     assert got == {0: ("exclude", 90, False), 1: ("include", 30, False), 2: ("include", 0, True), 3: ("include", 0, True), 4: ("include", 0, True), 5: ("exclude", 50, False), 6: ("include", 100, False), 7: ("include", 0, True), 8: ("include", 0, True), 99: ("include", 0, True)}
 
 
+def test_a_large_group_is_packed_over_many_ranges(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 2900, "hot").alias("g"), F.col("id").alias("study_id"), (F.col("id") % 13 * 10).alias("n")).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.g, r.study_id): (r.batch, r.place) for r in extraction.pack(rows, "g", "study_id", F.col("n"), 250).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, total, places = {}, {}, {}
+    for k in range(3000):
+        g = "hot" if k < 2900 else None
+        batch = total.get(g, 0) // 250
+        want[g, k] = (batch, places.get((g, batch), 0))
+        places[g, batch] = want[g, k][1] + 1
+        total[g] = total.get(g, 0) + k % 13 * 10
+    assert got == want
+
+
 def test_settings_and_prompts(tmp_path):
     for name, text in (("a.yaml", "x: 1\ny: 2"), ("b.yaml", "y: 3"), ("empty.yaml", ""), ("p.yaml", "system_prompt: hi\nprompt: no"), ("q.yaml", "prompt: ho"), ("r.yaml", "just text"), ("s.yaml", "- 1")):
         (tmp_path / name).write_text(text)
