@@ -225,7 +225,7 @@ def batches_of(hashes: DataFrame, batches: int) -> list[DataFrame]:
 
 
 def dedup_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS, batches: int = BATCHES, runs: LineRuns | None = None) -> DataFrame:
-    """doc_id, text, n_lines, n_dropped for every row of docs (columns doc_id, text), texts without repeated lines.
+    """doc_id, text, n_lines, n_dropped for every row of docs (columns doc_id, an integer, and text), texts without repeated lines.
 
     A line whose key has min_length code points and is in min_docs documents goes from all of them but the one with the
     largest doc_id. Null and empty texts have one empty line, which stays, and give an empty text. Rows that repeat a
