@@ -8,7 +8,8 @@ names them, so that a later job can go on with the store.
 
 Each line is fresh in one run, the oldest that holds it. What later runs add to known lines is little, so the totals take
 no merge of whole runs: those additions are summed, and each run's fresh lines look them up. Counts and maxima are
-additive, so the totals are the same however the corpus was cut into batches.
+additive, so the totals are the same however the corpus was cut into batches. The documents then meet the lines that go by
+hash, with the most frequent lines dealt over salts.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ MIN_DOCS = 5
 FANOUT = 4
 #: Batches that a whole table is added in.
 BATCHES = 5
+#: Documents of a frequent line for each of its salts, of which a line has one for each shuffle partition at most.
+SALT_DOCS = 1000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII white space of the contract: fixed values.
@@ -224,6 +227,21 @@ def batches_of(hashes: DataFrame, batches: int) -> list[DataFrame]:
     return out[::-1]
 
 
+def held(hashes: DataFrame, common: DataFrame) -> DataFrame:
+    """doc_id, h1, h2, last_id of the line hashes whose line is among the common ones (h1, h2, n_docs, last_id).
+
+    The lines that most documents hold, one for each shuffle partition at most, are dealt over salts by how many do; a line
+    beyond that list has less than a partition's share of all rows.
+    """
+    parts = int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = F.least(F.ceil(F.col("n_docs") / SALT_DOCS), F.lit(parts)).cast("int")
+    large = common.filter(F.col("n_docs") > SALT_DOCS).orderBy(F.col("n_docs").desc(), "h1", "h2").limit(parts).select("h1", "h2", salts.alias("salts"))
+    dealt = lambda df: df.join(F.broadcast(large), ["h1", "h2"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    rows = dealt(hashes).withColumn("s", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+    lines = dealt(common).select("h1", "h2", "last_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s"))
+    return rows.join(lines, ["h1", "h2", "s"]).select("doc_id", "h1", "h2", "last_id")
+
+
 def dedup_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS, batches: int = BATCHES, runs: LineRuns | None = None) -> DataFrame:
     """doc_id, text, n_lines, n_dropped for every row of docs (columns doc_id, an integer, and text), texts without repeated lines.
 
@@ -237,10 +255,10 @@ def dedup_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = M
     hashes = stored(line_hashes(docs, min_length), "line-hashes")
     for batch in batches_of(hashes, batches):
         runs.add(batch)
-    common = stored(runs.common(min_docs).select("h1", "h2", "last_id"), "line-common")
+    common = stored(runs.common(min_docs), "line-common")
     if own:
         runs.drop()
-    gone = hashes.join(common, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("last_id")))
+    gone = held(hashes, common).filter(~F.col("doc_id").eqNullSafe(F.col("last_id")))
     # collect_set has no more entries than the document has distinct lines
     gone = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("_gone"))
     joined = docs.select("doc_id", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left")

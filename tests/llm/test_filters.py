@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from metasieve.llm.decontam import Matcher, find_leaks, myers
@@ -49,8 +50,9 @@ def test_exact_compares_contents(spark, monkeypatch):
     assert got == {**{d: (d % 3, 10) for d in range(30)}, 99: (99, 1)}
 
 
-
-def test_lines(spark):
+@pytest.mark.parametrize("salt_docs", [1000, 2])
+def test_lines(spark, monkeypatch, salt_docs):
+    monkeypatch.setattr("metasieve.llm.line_dedup.SALT_DOCS", salt_docs)
     rng = random.Random(3)
     lines = [f"A common line {k} that is longer than forty characters É" for k in range(8)] + ["short", "", " \t"]
     rows = [(d, "\n".join(rng.choice(lines) + rng.choice(["", " ", "\x0b"]) for _ in range(rng.choice([1, 3, 9])))) for d in rng.sample(range(-50, 200), 60)] + [(300, None), (301, ""), (302, "\n")]
