@@ -21,7 +21,7 @@ from metasieve.llm.sstable import read_sstables, write_sstables
 from metasieve.llm.superminhash import near_components
 from metasieve.llm.token_rollup import TokenRollup, changes, count_tokens
 from metasieve.llm.toxicity_kn import fit_toxicity, score_toxicity
-from metasieve.llm.url_filter import RULES, SOFT, SOFT_LIMIT, STRICT, filter_urls
+from metasieve.llm.url_filter import LIMIT, RULES, STRICT, TERMS, filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -165,20 +165,21 @@ FROM z JOIN (SELECT lang, count(*) AS n FROM g GROUP BY lang) m USING (lang) WHE
 
 
 def _url_filter_sql() -> str:
-    def any_of(terms) -> str:
-        return " + ".join(f"CAST(regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS INTEGER)" for t in terms)
+    def sum_of(weights) -> str:
+        return " + ".join(f"CASE WHEN regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') THEN {w} ELSE 0 END" for t, w in weights.items())
 
+    soft = {t: w for t, w in TERMS.items() if w != STRICT}
     fits = " UNION ALL ".join(f"SELECT '{h}' AS h, '{p}' AS p, '{v}' AS v" for h, p, v in RULES)
-    strict = " + ".join(f"CAST(len(regexp_extract_all(regexp_replace(u, '([^a-z0-9])', '\\1\\1', 'g'), '(^|[^a-z0-9]){t.replace('-', '--')}([^a-z0-9]|$)')) AS INTEGER)" for t in STRICT)
+    strict = " + ".join(f"CAST(len(regexp_extract_all(regexp_replace(u, '([^a-z0-9])', '\\1\\1', 'g'), '(^|[^a-z0-9]){t.replace('-', '--')}([^a-z0-9]|$)')) AS INTEGER)" for t, w in TERMS.items() if w == STRICT)
     host = _AZ.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")
     return rf"""
 WITH r AS ({fits}),
 p AS (SELECT page_id, {host} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, {_AZ.format("coalesce(url, '')")} AS u FROM pages),
-c AS (SELECT page_id, host, path, {strict} AS strict_hits, {any_of(SOFT)} AS soft_hits FROM p),
+c AS (SELECT page_id, host, path, {strict} AS strict_hits, {sum_of(dict.fromkeys(soft, 1))} AS soft_hits, {sum_of(soft)} AS soft_weight FROM p),
 b AS (SELECT c.*, (SELECT max_by(struct_pack(rule := h || p, verdict := v), length(h || p)) FROM r WHERE (c.host = h OR ends_with(c.host, '.' || h)) AND starts_with(c.path, p)) AS best FROM c)
 SELECT page_id, host, path, best.rule AS rule,
-       coalesce(best.verdict, CASE WHEN strict_hits > 0 OR soft_hits >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
-       strict_hits, soft_hits
+       coalesce(best.verdict, CASE WHEN strict_hits > 0 OR soft_weight >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+       strict_hits, soft_hits, soft_weight
 FROM b
 """
 

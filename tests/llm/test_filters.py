@@ -14,7 +14,7 @@ from metasieve.llm.exact_dedup import drop_duplicates_exact, exact_dedup
 from metasieve.llm.line_dedup import LineRuns, dedup_lines, line_hashes
 from metasieve.llm.quality_knn import fit_quality, keep_good, score_quality
 from metasieve.llm.toxicity_kn import fit_toxicity, score_toxicity
-from metasieve.llm.url_filter import filter_urls
+from metasieve.llm.url_filter import LIMIT, STRICT, TERMS, filter_urls, read_terms
 
 SCHEMA = "doc_id long, text string, _t string, n_docs int, label int"
 
@@ -160,6 +160,40 @@ def test_urls(spark):
     assert filter_urls(df.limit(0)).count() == 0
 
 
+def test_urls_by_weights(spark):
+    """Strict hits, distinct soft terms and their weights against a plain search, with very long urls and repeated rows."""
+    rng = random.Random(12)
+    words = [*rng.sample(sorted(TERMS), 25), "page", "Éa", "casinox", "1poker", "X", "BETS"]
+    urls = ["http://a.net/" + "".join(rng.choice(words) + rng.choice("-/._a0É?") for _ in range(rng.choice([1, 2, 4, 9]))) for _ in range(300)]
+    urls += [urls[0], urls[0], "http://a.net/" + "page-" * 200_000 + "Casino", "http://a.net/" + "cheap/" * 100_000, "http://a.net/free/bets", "http://a.net/ads/track"]
+    df = spark.createDataFrame([(i, u, 0, 0) for i, u in enumerate(urls)], "page_id int, url string, soft_hits int, rule int")
+    lower = lambda u: re.sub("[A-Z]", lambda m: m[0].lower(), u)
+    want = []
+    for u in urls:
+        found = {t: len(re.findall(f"(?<![a-z0-9]){t}(?![a-z0-9])", lower(u))) for t in TERMS}
+        strict, soft = sum(n for t, n in found.items() if TERMS[t] == STRICT), [TERMS[t] for t, n in found.items() if n and TERMS[t] != STRICT]
+        want.append((strict, len(soft), sum(soft), "block" if strict or sum(soft) >= LIMIT else "allow"))
+    got = sorted(filter_urls(df).collect())
+    assert [(r.strict_hits, r.soft_hits, r.soft_weight, r.verdict) for r in got] == want
+    assert [w[3] for w in want[-4:]] == ["block", "allow", "block", "allow"] and {w[3] for w in want[:300]} == {"allow", "block"}
+
+
+def test_url_terms(spark, tmp_path):
+    """A vocabulary from a file: repeated terms, blank lines; terms and weights that cannot be."""
+    (tmp_path / "terms.tsv").write_text('Foo\tstrict\nbar\t3\nbar\t1\n"q\t2\n\n \t2\nfoo\t2\n')
+    terms = read_terms(spark, str(tmp_path / "terms.tsv"))
+    assert terms == {"foo": STRICT, "bar": 3, '"q': 2}
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a.net/foo", "http://a.net/bar", 'http://a.net/bar?"q', "http://a.net/casino"])], "page_id long, url string")
+    assert [r.verdict for r in sorted(filter_urls(df, terms).collect())] == ["block", "allow", "block", "allow"]
+    assert [r.verdict for r in filter_urls(df, {}).collect()] == ["allow"] * 4
+    for bad in ({"": 1}, {"Foo": 1}, {"foo": LIMIT}, {"foo": -1}):
+        with pytest.raises(ValueError):
+            filter_urls(df, bad)
+    (tmp_path / "bad.tsv").write_text("foo\tmany\n")
+    with pytest.raises(Exception):
+        filter_urls(df, read_terms(spark, str(tmp_path / "bad.tsv")))
+
+
 def test_classifiers(spark):
     rng = random.Random(8)
     words = [f"word{k}" for k in range(60)]
