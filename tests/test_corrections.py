@@ -163,3 +163,21 @@ def test_sizes_and_ranges_across_outcomes(spark):
     got = {(r.study_id, r.ord): r.issues for r in analysis.cross_check_rows(rows, ranges).collect()}
     assert got == {("s", 0): ["n_differs"], ("s", 1): ["n_differs"], ("s", 2): ["sd_implausible"], ("t", 0): ["mean_outside"], ("t", 1): []}
     assert all(not r.issues or r.issues == ["n_differs"] for r in analysis.cross_check_rows(rows).collect())
+
+
+
+def test_pairs_of_a_block_do_not_depend_on_its_parts(spark):
+    vectors = [[1.0, 0.0], [1.0, 1.0], [0.0, 0.0], None, [1.0, None], [1.0, 2.0, 3.0], [-1.0, 0.0], [2.0, 2.0]]
+    rows = [(b, k, vectors[k]) for b in (1, 2) for k in range(len(vectors))] + [(None, 1, [1.0, 0.0]), (None, 2, [1.0, 0.0]), (1, None, [1.0, 0.0]), (1, 7, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "block int, k long, v array<double>")
+
+    def cosine(x, y):
+        if x is None or y is None or None in x or None in y or len(x) != len(y) or not any(x) or not any(y):
+            return None
+        return round(sum(p * q for p, q in zip(x, y, strict=True)) / (sum(p * p for p in x) ** 0.5 * sum(q * q for q in y) ** 0.5), 9)
+
+    want = sorted(((a[0], a[1], b[1], cosine(a[2], b[2])) for a in rows for b in rows if a[0] == b[0] and None not in (a[0], a[1], b[1]) and a[1] < b[1]), key=str)
+    for part in (1024, 3, 1):
+        got = harmonize.cosine_pairs(df, "k", "v", "block", part=part).collect()
+        assert sorted(((r.block, r.a, r.b, None if r.similarity is None else round(r.similarity, 9)) for r in got), key=str) == want
+        assert all(abs(r.distance - (2.0 if r.similarity is None else 1 - r.similarity)) < 1e-9 for r in got)
