@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -136,6 +136,11 @@ def parse_json(response: Column, retry: Column | None, schema: str) -> Column:
     return first if retry is None else F.coalesce(first, parse(retry))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of value, worked out once: what f's own lambdas use would be worked out anew for each of their items."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def abstract_from_index(index: Column) -> Column:
     """The text of an inverted index (map of word to positions): words by position, then alphabet; empty for none."""
     places = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.cast("long").alias("p"), e["key"].alias("w")))))
@@ -144,15 +149,16 @@ def abstract_from_index(index: Column) -> Column:
 
 def table_to_markdown(rows: Column) -> Column:
     """A table (array of arrays of cells) as Markdown: ragged rows padded, null for a table without text."""
-    clean = F.transform(F.filter(rows, lambda r: F.size(r) > 0), lambda r: F.transform(r, lambda c: strip(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" ")))))
-    width = F.array_max(F.transform(clean, lambda r: F.size(r)))
-    padded = F.transform(clean, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    head = F.get(padded, F.lit(0))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    body = F.transform(F.slice(padded, 2, F.greatest(F.size(padded), F.lit(1))), line)
-    some = F.exists(F.flatten(clean), lambda c: c != "")
-    return F.when(F.coalesce(some, F.lit(False)), F.array_join(F.concat(F.array(line(head), rule), body), "\n"))
+
+    def table(clean: Column, width: Column) -> Column:
+        lines = F.transform(clean, lambda r: line(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))))
+        rule = line(F.array_repeat(F.lit("---"), width))
+        return bound(lines, lambda x: F.array_join(F.concat(F.slice(x, 1, 1), F.array(rule), F.slice(x, 2, F.greatest(F.size(x), F.lit(1)))), "\n"))
+
+    cleaned = F.transform(F.filter(rows, lambda r: F.size(r) > 0), lambda r: F.transform(r, lambda c: strip(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" ")))))
+    some = lambda clean: F.coalesce(F.exists(clean, lambda r: F.exists(r, lambda c: c != "")), F.lit(False))
+    return bound(cleaned, lambda clean: F.when(some(clean), bound(F.array_max(F.transform(clean, F.size)), lambda width: table(clean, width))))
 
 
 def pages_of(text: Column) -> Column:

@@ -1,10 +1,13 @@
 """Rules at their edges: votes with bad inputs, bias intervals, quantiles, linkage, mappings and planned subgroups."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from metasieve.functions import text as tx
 from metasieve.functions.distributions import t_critical, t_ppf
 from metasieve.operators import analysis, bias, harmonize, pooling, screening
 
@@ -181,3 +184,13 @@ def test_pairs_of_a_block_do_not_depend_on_its_parts(spark):
         got = harmonize.cosine_pairs(df, "k", "v", "block", part=part).collect()
         assert sorted(((r.block, r.a, r.b, None if r.similarity is None else round(r.similarity, 9)) for r in got), key=str) == want
         assert all(abs(r.distance - (2.0 if r.similarity is None else 1 - r.similarity)) < 1e-9 for r in got)
+
+
+
+def test_long_table_takes_time_by_its_rows(spark):
+    cells = [["h", "k"], *([f"a{k}"] if k % 4 == 0 else [f"a{k}", " b\n"] for k in range(6000))]
+    df = spark.createDataFrame([(cells,)], "t array<array<string>>")
+    start = time.monotonic()
+    got = df.select(tx.table_to_markdown(F.col("t")).alias("md")).first().md
+    assert time.monotonic() - start < 30  # widths that each row works out anew take minutes
+    assert got == "\n".join(["| h | k |", "| --- | --- |", *(f"| a{k} |  |" if k % 4 == 0 else f"| a{k} | b |" for k in range(6000))])
