@@ -194,3 +194,17 @@ def test_long_table_takes_time_by_its_rows(spark):
     got = df.select(tx.table_to_markdown(F.col("t")).alias("md")).first().md
     assert time.monotonic() - start < 30  # widths that each row works out anew take minutes
     assert got == "\n".join(["| h | k |", "| --- | --- |", *(f"| a{k} |  |" if k % 4 == 0 else f"| a{k} | b |" for k in range(6000))])
+
+
+
+def test_large_blocks_may_have_any_column_name_and_none(spark):
+    rng = np.random.default_rng(3)
+    rows = [(b, f"n{k}", k, [float(x) for x in rng.normal(k % 5 * 3, 1.0, 4)]) for b in (1, 2, None) for k in range(40)]
+    answers = []
+    for name in ("label", "block", "near"):
+        v = spark.createDataFrame(rows, f"{name} int, name string, ord int, vector array<double>")
+        for part in (1024, 7):
+            got = harmonize.cluster_by_vector(v, name, part=part)
+            assert got.columns == [name, "canonical", "members", "position"]
+            answers.append(sorted(((r[0], r.canonical, tuple(r.members), r.position) for r in got.collect()), key=str))
+    assert all(a == answers[0] for a in answers) and 3 < len(answers[0]) < len(rows)
