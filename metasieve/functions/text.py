@@ -141,6 +141,19 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def inverted_index(words: Column) -> Column:
+    """The inverted index (map of word to its positions from 0, ascending) of an array of words."""
+
+    def index(placed: Column) -> Column:
+        place = lambda k: F.get(placed, k)
+        starts = F.filter(F.sequence(F.lit(0), F.size(placed) - 1), lambda k: (k == 0) | (place(k)["w"] != place(k - 1)["w"]))
+        entry = lambda start, end: F.struct(place(start)["w"].alias("w"), F.transform(F.slice(placed, start + 1, end - start), lambda x: x["p"]).alias("ps"))
+        return bound(starts, lambda at: F.map_from_entries(F.transform(at, lambda start, k: entry(start, F.coalesce(F.get(at, k + 1), F.size(placed))))))
+
+    ordered = F.array_sort(F.transform(words, lambda w, p: F.struct(w.alias("w"), p.alias("p"))))
+    return bound(ordered, lambda placed: F.when(F.size(placed) > 0, index(placed)).otherwise(F.map_from_entries(F.slice(F.transform(placed, lambda x: F.struct(x["w"], F.array(x["p"]))), 1, 0))))
+
+
 def abstract_from_index(index: Column) -> Column:
     """The text of an inverted index (map of word to positions): words by position, then alphabet; empty for none."""
     places = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.cast("long").alias("p"), e["key"].alias("w")))))

@@ -1,5 +1,6 @@
 """Rules at their edges: votes with bad inputs, bias intervals, quantiles, linkage, mappings and planned subgroups."""
 
+import re
 import time
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from metasieve.functions import text as tx
 from metasieve.functions.distributions import t_critical, t_ppf
 from metasieve.operators import analysis, bias, harmonize, pooling, screening
+from metasieve.plans.queries import QUERIES
 
 
 def test_validation_of_votes(spark):
@@ -208,3 +210,16 @@ def test_large_blocks_may_have_any_column_name_and_none(spark):
             assert got.columns == [name, "canonical", "members", "position"]
             answers.append(sorted(((r[0], r.canonical, tuple(r.members), r.position) for r in got.collect()), key=str))
     assert all(a == answers[0] for a in answers) and 3 < len(answers[0]) < len(rows)
+
+
+
+def test_inverted_index_of_each_row_and_back(spark, tmp_path):
+    texts = ["b a\tb  c a b", "", None, " \n ", "a\x0bb a\x0bb", "x", " ".join(f"w{k % 97}" for k in range(20_000))]
+    df = spark.createDataFrame([(k // 2, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    index = df.limit(1).select(tx.inverted_index(F.split(F.lit("b a b c"), " ")).alias("i")).first().i
+    assert index == {"a": [1], "b": [0, 2], "c": [3]}
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["inverted_abstract"](spark, str(tmp_path))
+    want = [(k // 2, None if t is None else " ".join(w for w in re.split("[\t\n\f\r ]+", t) if w)) for k, t in enumerate(texts)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
