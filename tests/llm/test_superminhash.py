@@ -75,3 +75,19 @@ def test_empty_table_and_a_very_long_text(spark):
     long = " ".join(f"w{k % 70_001}" for k in range(300_000))
     got = near_components(spark.createDataFrame([(1, long), (2, long + " end"), (3, "short")], "doc_id long, text string"), 4, 80)
     assert [(r.doc_id, r.component_id) for r in got.orderBy("doc_id").collect()] == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_unions_of_a_large_group_are_given_out_once(spark, monkeypatch):
+    """Blocks and bands that find the same union again would give out links by the square of the group's size."""
+    rng = np.random.default_rng(6)
+    base, rows = [f"w{k}" for k in range(60)], []
+    for d in range(200):
+        w = list(base)
+        for at in rng.integers(0, 60, 2):
+            w[at] = f"x{rng.integers(0, 999)}"
+        rows.append((d, " ".join(w)))
+    seen, joined = [], superminhash._joined
+    monkeypatch.setattr(superminhash, "_joined", lambda labels, links: (seen.append((links.count(), links.distinct().count())), joined(labels, links))[1])
+    got = near_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80, block=8).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 4, 80)
+    assert all(n == d for n, d in seen) and sum(n for n, _ in seen) < 3 * len(rows)
