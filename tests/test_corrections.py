@@ -223,3 +223,35 @@ def test_inverted_index_of_each_row_and_back(spark, tmp_path):
     want = [(k // 2, None if t is None else " ".join(w for w in re.split("[\t\n\f\r ]+", t) if w)) for k, t in enumerate(texts)]
     assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+
+def test_pairs_of_large_blocks_take_few_bytes_and_are_dealt_over_tasks(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(1, k, v) for k, v in enumerate(rng.normal(size=(1000, 64)).tolist())], "label int, vec_id long, embedding array<double>")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    pairs = QUERIES["cosine_pairs"](spark, str(tmp_path))
+    pairs.coalesce(1).write.parquet(str(tmp_path / "pairs"))
+    written, n = sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")), 1000 * 999 // 2
+    assert spark.read.parquet(str(tmp_path / "pairs")).selectExpr("count(*)", "count(DISTINCT a, b)", "count(similarity)").first() == (n, n, n)
+    assert written < 5 * n
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = harmonize.cosine_pairs(df, "vec_id", "embedding", "label", part=100)
+        tasks = [r[0] for r in found.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(tasks) > 9 and sum(tasks) == n and max(tasks) < n / 4
+
+
+
+def test_similarities_are_rounded_as_spark_does(spark):
+    x = [0.0, -0.0, 1.0, -1.0, 0.123455, -0.123455, 0.000005, -0.000005, 4.9e-6, -4.9e-6, 1.0000000000000002, *np.random.default_rng(7).uniform(-1, 1, 200).tolist()]
+    x += [(k * 10 + 5) / 1e6 for k in range(-99_999, 100_000, 1999)]
+    x += np.nextafter(x, 2).tolist() + np.nextafter(x, -2).tolist()
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").coalesce(1).select(F.round("x", 5)).collect()]
+    assert list(map(str, harmonize._rounded(np.array(x), 5).tolist())) == list(map(str, want))
+    df = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [1.0, 2.0]), (1, 3, None)], "block int, k long, v array<double>")
+    got = harmonize.cosine_pairs(df, "k", "v", "block", digits=2).collect()
+    assert sorted((r.a, r.b, r.similarity, round(r.distance, 9)) for r in got if r.a + r.b == 3) == [(1, 2, 0.45, 0.55)] and [r.similarity for r in got if r.b == 3] == [None, None]
